@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text_keys as K
-from tidemark.operators import asof, skewed_keys, timestamps
+from tidemark.operators import asof, skewed_keys, spikes, timestamps
 from tidemark.tables import table
 
 NEW_YORK = "America/New_York"
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of both tables whose quote or close no market gave."""
+    o = table(spark, d, "options_eod_summary", "row_id", "quote_date", "series_id", "bid_1545", "ask_1545")
+    u = table(spark, d, "underlying_daily", "row_id", "quote_date", "underlying_symbol", "s_eod")
+    u = u.withColumn("underlying_symbol", K.symbol("underlying_symbol"))
+    # A quote of an option moves by ticks and by its gearing: a spike is a factor e at least.
+    quotes = spikes.implausible(o, source="series_id", day="quote_date", row_id="row_id", readings=("bid_1545", "ask_1545"), zero_ok=(True, False), crossed=True, least=1.0)
+    closes = spikes.implausible(u, source="underlying_symbol", day="quote_date", row_id="row_id", readings=("s_eod",), zero_ok=(False,))
+    named = lambda df, name: df.select(F.lit(name).alias("source_table"), "row_id")
+    return named(quotes, "options_eod_summary").unionAll(named(closes, "underlying_daily")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """One instant per event whose instant is determined."""
     e = table(spark, d, "event_alignment", "event_id", "feed", "feed_zone", "announcement_dt", "local_announcement_dt")
@@ -53,7 +65,7 @@ def p7_stats(spark: SparkSession, d: str) -> DataFrame:
     return n.join(m, n["key"].eqNullSafe(m["key"])).select(n["key"].alias("underlying_symbol"), F.col("n").alias("n_rows"), "volume", F.round("median_mid", 6).alias("median_mid"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_found, p7_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p7_found, p7_stats)}
 
 _SYMBOL = "translate(upper(trim(underlying_symbol)), '/-', '..')"
 _GVKEY = "nullif(regexp_extract(trim(source_gvkey), '^\\D*0*(\\d+)(?:\\.0*)?$', 1), '')"
