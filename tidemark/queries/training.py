@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text_keys as K
-from tidemark.operators import asof, skewed_keys, spikes, timestamps
+from tidemark.operators import asof, drift, skewed_keys, spikes, timestamps
 from tidemark.tables import table
 
 NEW_YORK = "America/New_York"
+# The canonical columns of the panel files and their types.
+PANEL = tuple(
+    (n, k)
+    for k, names in {
+        "date": "quote_date expiration",
+        "text": "underlying_symbol root option_type venue_code quote_condition",
+        "decimal": "strike bid_1545 ask_1545 implied_underlying_price_1545 bid_eod ask_eod vwap active_underlying_price_1545 implied_volatility_1545 delta_1545 gamma_1545",
+        "integer": "trade_volume open_interest bid_size_1545 ask_size_1545 settle_days",
+        "boolean": "has_calcs is_adjusted",
+    }.items()
+    for n in names.split()
+)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +58,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found(known, "bridge", "bridge_id").unionAll(found(linked, "link_year", "year")).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each change of a panel file against the previous one of its stream."""
+    return drift.changes(drift.file_columns(table(spark, d, "panel_file_lines"), PANEL))
+
+
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    """All panel lines in the canonical columns and types."""
+    lines = table(spark, d, "panel_file_lines")
+    return drift.consistent_table(lines, drift.file_columns(lines, PANEL), PANEL)
+
+
 def _symbols(spark: SparkSession, d: str, *columns: str) -> skewed_keys.Accumulators:
     o = table(spark, d, "options_eod_summary", "underlying_symbol", *columns)
     return skewed_keys.Accumulators(o, K.symbol("underlying_symbol"))
@@ -65,7 +88,7 @@ def p7_stats(spark: SparkSession, d: str) -> DataFrame:
     return n.join(m, n["key"].eqNullSafe(m["key"])).select(n["key"].alias("underlying_symbol"), F.col("n").alias("n_rows"), "volume", F.round("median_mid", 6).alias("median_mid"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p7_found, p7_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_table, p7_found, p7_stats)}
 
 _SYMBOL = "translate(upper(trim(underlying_symbol)), '/-', '..')"
 _GVKEY = "nullif(regexp_extract(trim(source_gvkey), '^\\D*0*(\\d+)(?:\\.0*)?$', 1), '')"
