@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import contamination, encoding, tokenize
+from tidemark.llm import contamination, encoding, linkage, tokenize
 from tidemark.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -21,6 +21,24 @@ def vocabulary_path(name: str, folder: str = TOKENIZERS) -> str:
     return public_tokenizers.path(name)
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(
+        table(spark, d, "deal_party", "party_id", "name", "ticker", "underlying_symbol", "firm_id", "cik"),
+        table(spark, d, "linkages", "source_gvkey", "source_name", "source_ticker", "source_firm_id"),
+        table(spark, d, "gvkey_underlying_bridge", "gvkey", "firm_id", "cik"),
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each party's gvkeys."""
+    return _linked(spark, d).select("party_id", "source_gvkey")
+
+
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Each party's gvkeys with the posterior of the match."""
+    return _linked(spark, d)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_ids(table(spark, d, "documents", "doc_id", "text"), vocabulary_path("byte_bpe_50k.json"))
@@ -41,5 +59,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p8_ids, p9_found, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
