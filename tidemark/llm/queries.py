@@ -5,8 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, encoding, linkage, tokenize
+from tidemark.functions import text_keys as K
+from tidemark.llm import contamination, encoding, linkage, resolve, tokenize
 from tidemark.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -39,6 +41,21 @@ def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of listed names that aren't the listed ones, with the number of whom they mean."""
+    party = table(spark, d, "deal_party", "party_id", "name", "ticker", "cik")
+    company = table(spark, d, "matched_company", "match_id", "matched_company_name", "matched_ticker", "cik")
+    lookup = table(spark, d, "company_lookup", "cik", "name", "ticker")
+    record = lambda df, source, key, name, t: df.select(F.lit(source).alias("name_source"), F.col(key).alias("record_id"), F.col(name).alias("name"), K.symbol(t).alias("t"), K.cik10("cik").alias("c"))
+    records = record(party, "deal_party", "party_id", "name", "ticker").unionAll(record(company, "matched_company", "match_id", "matched_company_name", "matched_ticker"))
+    listed = lookup.select(K.cik10("cik").alias("id"), "name", K.symbol("ticker").alias("t"))
+    means = resolve.resolve(records, listed)
+    same = [records[c].eqNullSafe(means[c]) for c in ("name", "t", "c")]
+    found = records.join(means, same).select("name_source", "record_id", records["name"], "id")
+    letters = listed.select("id", F.col("name")).distinct()
+    return found.join(letters, ["id", "name"], "left_anti").select("name_source", "record_id", F.col("id").alias("cik")).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_ids(table(spark, d, "documents", "doc_id", "text"), vocabulary_path("byte_bpe_50k.json"))
@@ -59,5 +76,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p8_ids, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p4_found, p8_ids, p9_found, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
