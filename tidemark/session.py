@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +48,19 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on Python workers that don't have it on their path.
+
+    Does nothing where PYTHONPATH already holds it (as on a cluster that is set up for it);
+    else the driver serves the package to the executors.
+    """
+    home = Path(__file__).resolve().parents[1]
+    held = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if home in held or getattr(sc, "_tidemark_shipped", False):
+        return
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark"), "zip", home, "tidemark")
+    sc.addPyFile(archive)
+    sc._tidemark_shipped = True
