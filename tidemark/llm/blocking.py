@@ -12,41 +12,79 @@ from pyspark.sql import functions as F
 from tidemark.llm.names import LOOKS, deletions, parse
 
 
-def common_words(names: DataFrame, name: str, share: float = 0.005, least: int = 20) -> frozenset[str]:
-    """Words in at least ``share`` of the distinct names (and ``least`` of them): trades, first names.
+def common_words(names: DataFrame, entity: str, name: str, most: int = 12) -> frozenset[str]:
+    """Words in names of more than ``most`` entities: trades and their short forms, first names.
 
-    They make no keys. There are at most a few per ``1 / share`` of them, whatever the corpus.
+    Alone they make no blocks, so a block has at most ``most`` entities of this side;
+    together with another word of the name they do. They are few: at most a ``most``-th of
+    the words of all names, of which nearly all tell one family of names.
     """
-    distinct = names.select(F.col(name).alias("n")).where("n is not null").distinct()
-    total = distinct.count()
+    distinct = names.select(F.col(entity).cast("string").alias("e"), F.col(name).alias("n")).where("n is not null").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"w": [w for n in b["n"] for w in set(parse(n).tokens)]}, columns=["w"])
+            yield pd.DataFrame([(e, w) for e, n in zip(b["e"], b["n"], strict=True) for w in set(parse(n).tokens)], columns=["e", "w"])
 
-    words = distinct.mapInPandas(run, "w string").groupBy("w").count().where(F.col("count") >= max(least, share * total))
+    words = distinct.mapInPandas(run, "e string, w string").distinct().groupBy("w").count().where(F.col("count") > most)
     return frozenset(r[0] for r in words.select("w").collect())
 
 
-def keys_of(name: str | None, common: frozenset[str]) -> set[int]:
-    """Hashes of all keys of one name: each telling word, and each two neighbours written together."""
-    tokens = parse(name).tokens
-    telling = [w for w in tokens if w not in common and len(w) >= 3]
-    glued = [a + b for a, b in zip(tokens, tokens[1:])]
-    out: set[int] = set()
-    for w in {*telling, *glued}:
-        for v in {w, w.translate(LOOKS).replace("rn", "m").replace("vv", "w")}:
-            out.update(xxhash.xxh64_intdigest(k) - (1 << 63) for k in deletions(v))
+def keys_of(name: str | None, common: frozenset[str]) -> set[tuple[int, str, int, str | None]]:
+    """``(block, word, initials, legal)`` of one name: a block for each telling word and each
+    two neighbours written together, with every letter of it left out once, and for every
+    two words; the initials of the other words as bits, and the legal form."""
+    tokens, legal, _ = parse(name)
+    out = set()
+
+    def add(word: str, rest: list[str]) -> None:
+        bits = 0
+        for w in rest:
+            bits |= 1 << (ord(w[0]) % 31)
+        for v in {word, word.translate(LOOKS).replace("rn", "m").replace("vv", "w")}:
+            out.update((xxhash.xxh64_intdigest(k) - (1 << 63), v, bits, legal) for k in deletions(v))
+
+    for i, w in enumerate(tokens):
+        for j in range(i + 1, len(tokens)):
+            # Two words of a name in any order: the way for words that are common.
+            both = " ".join(sorted((w, tokens[j])))
+            out.add((xxhash.xxh64_intdigest(both) - (1 << 63), both, 0, legal))
+        if w not in common and len(w) >= 3:
+            add(w, [*tokens[:i], *tokens[i + 1 :]])
+        if i + 1 < len(tokens):
+            add(w + tokens[i + 1], [*tokens[:i], *tokens[i + 2 :]])
     return out
 
 
 def name_keys(df: DataFrame, key: str, name: str, common: frozenset[str]) -> DataFrame:
-    """``key, block`` rows of each name; null names have none."""
+    """``key, block, word, initials, legal`` rows of each name; null names have none."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, h) for k, n in zip(b["k"], b["n"], strict=True) for h in keys_of(n, common)]
-            yield pd.DataFrame(rows, columns=["k", "block"])
+            rows = [(k, *h) for k, n in zip(b["k"], b["n"], strict=True) for h in keys_of(n, common)]
+            yield pd.DataFrame(rows, columns=["k", "block", "word", "initials", "legal"])
+
+    return df.where(F.col(name).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n")).mapInPandas(run, f"k {kind}, block bigint, word string, initials int, legal string").withColumnRenamed("k", key)
+
 
-    return df.where(F.col(name).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n")).mapInPandas(run, f"k {kind}, block bigint").withColumnRenamed("k", key)
+def code_keys(df: DataFrame, key: str, code: str, tag: str) -> DataFrame:
+    """Key rows of a code, which has to be the same on both sides; null codes have none."""
+    nothing = F.lit(None).cast("string")
+    return df.where(F.col(code).isNotNull()).select(key, F.xxhash64(F.lit(tag), code).alias("block"), nothing.alias("word"), F.lit(0).alias("initials"), nothing.alias("legal"))
+
+
+def candidates(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs that share a block.
+
+    Where the words of a block aren't the same, they must be within an edit or a swap, some
+    other word of both names must begin alike, and the legal forms agree, as far as both
+    names have them: of words that look alike by chance, more with every name there is, few
+    agree in these too.
+    """
+    r = right.select(b, *(F.col(c).alias(f"_{c}") for c in ("block", "word", "initials", "legal"))).distinct()
+    same = F.col("word").isNull() | (F.col("word") == F.col("_word"))
+    alike = F.col("initials").bitwiseAND(F.col("_initials")) != 0
+    bare = (F.col("initials") == 0) | (F.col("_initials") == 0)
+    legal = F.coalesce(F.col("legal") == F.col("_legal"), F.lit(True))
+    typed = (alike | bare) & legal & (F.levenshtein("word", "_word", 2) >= 0)
+    return left.join(r, (F.col("block") == F.col("_block")) & (same | typed)).select(a, b).distinct()
