@@ -24,3 +24,14 @@ def gvkey(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     digits = F.regexp_extract(F.trim(c.cast("string")), r"^\D*0*(\d+)(?:\.0*)?$", 1)
     return F.when(digits != "", digits)
+
+
+# Legal and filler words that a slug leaves out.
+SLUG_WORDS = ("inc", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "holdings", "group", "llc", "lp", "incorporated")
+
+
+def slug(c: Column | str, words: int = 8, dropped: tuple[str, ...] = SLUG_WORDS) -> Column:
+    """The first words of a name, lower case, joined by ``_``; null if nothing is left."""
+    c = F.col(c) if isinstance(c, str) else c
+    parts = F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "), lambda w: (w != "") & ~w.isin(*dropped))
+    return F.nullif(F.array_join(F.slice(parts, 1, words), "_"), F.lit(""))
