@@ -34,10 +34,10 @@ def abnormal(df: DataFrame, keys: list[str], relative: str, estimation: tuple[in
     partially aggregated, so a key that holds a third of all rows sorts nowhere.
     """
     inside = F.col(relative).between(*estimation)
-    base = df.where(inside).groupBy(*keys).agg(F.count("*").alias(count), *(f(m.column()).alias(f"_{n}_{i}") for i, m in enumerate(metrics) for n, f in (("mu", F.avg), ("sd", F.stddev_samp))))
-    on = [df[k].eqNullSafe(base[k]) for k in keys]
+    base = df.where(inside).groupBy(*(F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys))).agg(F.count("*").alias(count), *(f(m.column()).alias(f"_{n}_{i}") for i, m in enumerate(metrics) for n, f in (("mu", F.avg), ("sd", F.stddev_samp))))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
     z = [F.when(F.col(f"_sd_{i}") > 0, (m.column() - F.col(f"_mu_{i}")) / F.col(f"_sd_{i}")).alias(m.output) for i, m in enumerate(metrics)]
-    return df.join(base, on, "left").select(*(df[c] for c in df.columns), count, *z)
+    return df.join(base, on, "left").select(*df.columns, count, *z)
 
 
 def scales(df: DataFrame, columns: list[str]) -> DataFrame:

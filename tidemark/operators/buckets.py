@@ -32,7 +32,7 @@ def group_share(df: DataFrame, value: str, groups: dict[str, list[str]]) -> Data
     """
     out = df
     for name, keys in groups.items():
-        total = df.groupBy(*keys).agg(F.sum(value).alias(f"_t_{name}"))
-        on = [out[k].eqNullSafe(total[k]) for k in keys]
-        out = out.join(total, on, "left").select(*(out[c] for c in out.columns), F.when(F.col(f"_t_{name}") > 0, F.col(value) / F.col(f"_t_{name}")).alias(name))
+        total = df.groupBy(*(F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys))).agg(F.sum(value).alias(f"_t_{name}"))
+        on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
+        out = out.join(total, on, "left").select(*out.columns, F.when(F.col(f"_t_{name}") > 0, F.col(value) / F.col(f"_t_{name}")).alias(name))
     return out
