@@ -44,7 +44,8 @@ def keys_of(name: str | None, common: frozenset[str]) -> set[tuple[int, str, int
             out.update((xxhash.xxh64_intdigest(k) - (1 << 63), v, bits, legal) for k in deletions(v))
 
     for i, w in enumerate(tokens):
-        for j in range(i + 1, len(tokens)):
+        # A text of more words than names have makes pairs of neighbours only.
+        for j in range(i + 1, len(tokens) if len(tokens) <= 12 else min(i + 2, len(tokens))):
             # Two words of a name in any order: the way for words that are common.
             both = " ".join(sorted((w, tokens[j])))
             out.add((xxhash.xxh64_intdigest(both) - (1 << 63), both, 0, legal))

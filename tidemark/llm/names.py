@@ -22,6 +22,10 @@ NICKNAMES = {
     "thomas": "tom tommy", "john": "jack johnny", "steven": "steve", "daniel": "dan danny", "anthony": "tony", "christopher": "chris",
     "matthew": "matt", "andrew": "andy drew", "barbara": "barb", "jennifer": "jen jenny", "rebecca": "becky", "samuel": "sam",
 }
+#: The code a name carries in brackets, as in ``Stukium Networks LLC (QRZK)``.
+BRACKETED = r"\(([A-Z][A-Z0-9./-]{1,9})\)"
+#: Words longer than this are compared letter for letter.
+LONGEST = 48
 _SHORT = {n: frozenset(k for k, v in NICKNAMES.items() if n in v.split()) for ns in NICKNAMES.values() for n in ns.split()}
 
 
@@ -94,6 +98,8 @@ def likeness(a: str, b: str, proper: bool) -> float:
     """How well word ``a`` stands for word ``b`` (0: not at all). Only other words than proper ones are abbreviated."""
     if a == b:
         return 1.0
+    if max(len(a), len(b)) > LONGEST:
+        return 0.0
     if len(a) == 1:
         return 0.35 if b.startswith(a) else 0.0
     if b in _SHORT.get(a, ()) or a in _SHORT.get(b, ()):
@@ -124,6 +130,8 @@ def stands_for(name: Name, listed: Name, strict: bool = True) -> tuple[float, bo
     side may be typed too: its words may be short forms and its legal form may be missing.
     """
     left, right = name.tokens, listed.tokens
+    if len(left) > 2 * len(right) + 2:
+        return 0.0, True
     if not left or not right:
         return 0.0, True
     person = listed.person and listed.legal is None
@@ -168,12 +176,6 @@ def stands_for(name: Name, listed: Name, strict: bool = True) -> tuple[float, bo
     return score, not whole
 
 
-def bracketed(text: str | None) -> str | None:
-    """The code a name carries in brackets, as in ``Stukium Networks LLC (QRZK)``."""
-    m = re.search(r"\(([A-Z][A-Z0-9./-]{1,9})\)", text or "")
-    return m.group(1).replace("/", ".").replace("-", ".") if m else None
-
-
 def deletions(word: str) -> set[str]:
     """The word and all it gives with one letter left out: words one edit apart share one of these."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) >= 4 else {word}
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))} if 4 <= len(word) <= LONGEST else {word}
