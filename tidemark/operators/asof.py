@@ -7,7 +7,7 @@ the events of one busy entity spread over the buckets of its history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,21 +27,22 @@ def as_of_join(events: DataFrame, changes: DataFrame, *, event_entity: str, even
 
     Times are integers (days, years). Events without entity, time or earlier change drop
     out. Repeated events stay repeated, each once; the events' other columns are kept
-    whatever their names. Each interval is clipped to the range of event times before it is
+    whatever their names (one named ``out`` is replaced). Without events or changes the
+    result is empty. Each interval is clipped to the range of event times before it is
     cut into buckets of ``width``, so an open one costs range / width rows.
     """
-    lo, hi = events.agg(F.min(event_time), F.max(event_time)).first()
+    kept = [c for c in events.columns if c != out]
+    asked = events.where(F.col(event_entity).isNotNull() & F.col(event_time).isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(event_entity).alias("who"), F.col(event_time).cast("bigint").alias("t"))
+    lo, hi = asked.agg(F.min("t"), F.max("t")).first()
     if lo is None:
-        return events.limit(0).withColumn(out, F.lit(None).cast(changes.schema[value].dataType))
+        return events.limit(0).select(*(F.col(f"`{c}`") for c in kept), F.lit(None).cast(changes.schema[value].dataType).alias(out))
+    cut = lambda c: F.floor(c / F.lit(width)).cast("bigint")
     spans = validity_intervals(changes, entity, at, value).select(
-        F.col("entity").alias("_entity"),
-        F.col("value").alias("_value"),
-        F.greatest(F.col("start"), F.lit(lo)).alias("_start"),
-        F.least(F.coalesce(F.col("end"), F.lit(hi + 1)), F.lit(hi + 1)).alias("_end"),
+        "entity",
+        "value",
+        F.greatest(F.col("start").cast("bigint"), F.lit(lo)).alias("start"),
+        F.least(F.coalesce(F.col("end").cast("bigint"), F.lit(hi + 1)), F.lit(hi + 1)).alias("end"),
     )
-    cut = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    buckets = spans.where("_start < _end").withColumn("_bucket", F.explode(F.sequence(cut(F.col("_start")), cut(F.col("_end") - 1))))
-    t: Column = F.col(event_time)
-    asked = events.where(F.col(event_entity).isNotNull() & t.isNotNull()).withColumn("_at", cut(t))
-    met = (F.col(event_entity) == F.col("_entity")) & (F.col("_at") == F.col("_bucket")) & (t >= F.col("_start")) & (t < F.col("_end"))
-    return asked.join(buckets, met).select(*[asked[f"`{c}`"] for c in events.columns], F.col("_value").alias(out))
+    buckets = spans.where("start < end").withColumn("bucket", F.explode(F.sequence(cut(F.col("start")), cut(F.col("end") - 1))))
+    met = (F.col("who") == F.col("entity")) & (F.col("at") == F.col("bucket")) & (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))
+    return asked.withColumn("at", cut(F.col("t"))).join(buckets, met).select(*(F.col(f"row.`{c}`") for c in kept), F.col("value").alias(out))

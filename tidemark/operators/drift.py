@@ -153,8 +153,10 @@ def consistent_table(lines: DataFrame, files: DataFrame, canonical: tuple[tuple[
     are left out. Repeated lines stay.
     """
     names = [n for n, _ in canonical]
-    slots = files.select("file_id", "delimiter", F.map_from_entries(F.transform("columns", lambda c: F.struct(c["name"], c["pos"]))).alias("m"))
-    slots = slots.select("file_id", "delimiter", F.array(*(F.coalesce(F.col("m")[n], F.lit(-1)) for n in names)).alias("slots"))
+    # Of two columns of one name the first counts.
+    place = lambda n: F.coalesce(F.get(F.filter("columns", lambda c: c["name"] == n), F.lit(0))["pos"], F.lit(-1))
+    pos = [place(n) for n in names]
+    slots = files.select("file_id", "delimiter", F.array(*pos).alias("slots"))
     rows = lines.where("line_no > 0 and line_text is not null").select("line_id", "file_id", "line_text").join(slots, "file_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

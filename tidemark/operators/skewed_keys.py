@@ -9,6 +9,7 @@ size of its split, whatever keys it holds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,14 @@ class Accumulators:
 
     The dictionary of distinct keys (partially aggregated, so a hot key costs a row per
     task) goes to all tasks only if it has at most ``max_keys`` entries; beyond that
-    ``counts`` sums per-split dictionaries by key instead, and ``medians`` refuses.
-    A null key is a key of its own. Null values don't count in sums and medians.
+    ``counts`` sums per-split dictionaries by key instead, and ``medians`` works off the
+    keys in parts, by their hash, each with a dictionary within the bound.
+    A null key is a key of its own. Null values and NaN don't count in sums and medians. An
+    empty table gives no keys.
     """
 
     def __init__(self, df: DataFrame, key: Column, max_keys: int = 200_000, fan: int = 64):
-        self.df, self.key, self.fan = df, key.cast("string"), fan
+        self.df, self.key, self.fan, self.max_keys = df, key.cast("string"), fan, max_keys
         found = [r[0] for r in df.select(self.key.alias("k")).distinct().limit(max_keys + 1).collect()]
         self.bounded = len(found) <= max_keys
         self.keys = sorted((k for k in found if k is not None)) + [None] * (None in found) if self.bounded else None
@@ -106,7 +109,10 @@ class Accumulators:
         order-preserving bits among the values that share the prefix found so far.
         """
         if not self.bounded:
-            raise ValueError("medians need a dictionary within max_keys")
+            parts = 2 * -(-self.df.select(self.key).distinct().count() // self.max_keys)
+            share = F.pmod(F.xxhash64(self.key), F.lit(parts))
+            each = [Accumulators(self.df.where(share == i), self.key, self.max_keys, self.fan).medians(value, out) for i in range(parts)]
+            return reduce(DataFrame.unionAll, each)
         m, value = len(self.keys), F.when(~F.isnan(value.cast("double")), value.cast("double"))
         prefix = np.zeros((2, m), np.uint64)
         rank: np.ndarray | None = None

@@ -175,7 +175,7 @@ def implausible(df: DataFrame, *, source: str, day: str, row_id: str, readings:
     empty output.
     """
     values = [F.col(r).cast("double") for r in readings]
-    base = df.select(F.col(source).alias("_s"), F.unix_date(F.col(day).cast("date")).alias("_d"), *(F.when(~F.isnan(v), v + F.lit(0.0)).alias(f"_r{i}") for i, v in enumerate(values)), F.col(row_id).alias("_id"))
+    base = df.select(F.col(source).cast("string").alias("_s"), F.unix_date(F.col(day).cast("date")).alias("_d"), *(F.when(~F.isnan(v), v + F.lit(0.0)).alias(f"_r{i}") for i, v in enumerate(values)), F.col(row_id).cast("bigint").alias("_id"))
     base = base.where("_s is not null and _d is not null")
     names = [f"_r{i}" for i in range(len(readings))]
     distinct = base.groupBy("_s", "_d", *names).agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
@@ -221,9 +221,8 @@ def implausible(df: DataFrame, *, source: str, day: str, row_id: str, readings:
         if held and len(rest := pd.concat(held)):
             yield from pa.Table.from_pandas(judge(rest), schema=schema, preserve_index=False).to_batches()
 
-    kind = distinct.schema["_s"].dataType.simpleString()
-    schema = pa.schema([("_s", pa.int64() if kind == "bigint" else pa.string()), ("_d", pa.int32()), *((n, pa.float64()) for n in names), ("_id", pa.int64()), ("_n", pa.int64()), ("reason", pa.string())])
-    found = materialise(cut.mapInArrow(batches, f"_s {kind}, _d int, {', '.join(f'{n} double' for n in names)}, _id bigint, _n bigint, reason string"))
+    schema = pa.schema([("_s", pa.string()), ("_d", pa.int32()), *((n, pa.float64()) for n in names), ("_id", pa.int64()), ("_n", pa.int64()), ("reason", pa.string())])
+    found = materialise(cut.mapInArrow(batches, f"_s string, _d int, {', '.join(f'{n} double' for n in names)}, _id bigint, _n bigint, reason string"))
     alone = found.where("_n = 1").select(F.col("_id").alias("row_id"), "reason")
     again = found.where("_n > 1").drop("_id", "_n")
     on = [base[c].eqNullSafe(again[c]) for c in ("_s", "_d", *names)]
