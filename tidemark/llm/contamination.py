@@ -179,8 +179,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text
     """``doc_id, item_id`` once per document and item it holds a passage of.
 
     Items go to the tasks in blocks of at most ``block`` (all are worked off, block by
-    block); documents never move. Items and documents with fewer than ``window`` words,
-    null and empty ones hold nothing. Repeated items count once each id.
+    block); documents never move. Items with fewer than ``window`` words, documents with fewer than
+    ``window - changed``, null and empty ones hold nothing. Repeated items count once each id.
     """
     kind = docs.schema[doc].dataType.simpleString()
     rows = sorted({(r[0], r[1]) for r in items.select(item, item_text).where(F.col(item_text).isNotNull()).toLocalIterator()})

@@ -112,7 +112,7 @@ def _spans_two(text: str, encoding: str, least: int = 9) -> list[tuple[int, int,
     return out
 
 
-_ODD_WORDS = re.compile(r"[À-ÿ¸¨£³]*[À-ÿ]{2}[À-ÿ¸¨£³]*(?:[\s,.;:!?()\"«»-]+[À-ÿ¸¨£³]+\b)*")
+_ODD_WORDS = re.compile(r"[À-ÿ¸¨£³]*[À-ÿ]{2}[À-ÿ¸¨£³]*(?:[\s,.;:!?()\"«»-]+[À-ÿ¸¨£³]+(?![A-Za-z]))*")
 _CYRILLIC_WORD = re.compile(r"[Ѐ-ӿ─-╿▀-▟©°·²÷№]*[Ѐ-ӿ][Ѐ-ӿ─-╿▀-▟©°·²÷№]*")
 # Pairs of (encoding the text was read by, encoding it was in).
 SWAPS = (("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("koi8-r", "cp866"), ("cp866", "koi8-r"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"))
@@ -134,14 +134,18 @@ def _russian(text: str) -> float:
 
 @lru_cache(maxsize=1 << 16)
 def _swapped(word: str) -> tuple[tuple[str, str, float], ...]:
-    """``(pair, new, gain)`` of each swap under which a word is better Russian than it is."""
+    """``(pair, new, gain)`` of each swap under which a word may be better Russian than it is."""
     now, out = _russian(word), []
     for a, b in SWAPS:
         try:
             new = word.encode(a).decode(b)
         except UnicodeError:
             continue
-        if (gain := _russian(new) - now) > 0 and not (word.islower() and new.isupper() and len(word) > 1):
+        gain = _russian(new) - now
+        # The two common encodings have capitals and small letters in each other's place:
+        # turned letters speak for a swap where their frequencies don't, the reverse never does.
+        turned = word[-1:].isupper() and (new.islower() or new.istitle())
+        if (gain > 0 or (turned and gain > -1.5)) and not (word.islower() and new.isupper() and len(word) > 1):
             out.append((f"{a}>{b}", new, gain))
     return tuple(out)
 
