@@ -75,3 +75,19 @@ def distinct_captures(c: Column | str, patterns: tuple[str, ...]) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     every = F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in patterns)))
     return F.array_sort(F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x != "")))
+
+
+def display_names(c: Column | str) -> Column:
+    """``array<struct<name, ticker, cik>>`` of texts like ``VARIAN INC (VAR) (CIK 0001012345)``; parts that miss are null."""
+    c = F.col(c) if isinstance(c, str) else c
+    pattern = r"([^();|]+?)\s*(?:\(([A-Z][A-Z0-9.\-, ]*)\)\s*)?\(CIK\s+(\d{1,10})\)"
+    part = lambda i: F.regexp_extract_all(c, F.lit(pattern), F.lit(i))
+    zipped = F.arrays_zip(part(1).alias("name"), part(2).alias("ticker"), part(3).alias("cik"))
+    return F.transform(zipped, lambda x: F.struct(F.nullif(F.trim(x["name"]), F.lit("")).alias("name"), F.nullif(x["ticker"], F.lit("")).alias("ticker"), F.lpad(x["cik"], 10, "0").alias("cik")))
+
+
+def name_matches(name: Column | str, query: Column | str, slug) -> Column:
+    """Same slug, or one of at least two words that the other starts with; false for a null."""
+    a, b = slug(name), slug(query)
+    starts = lambda x, y: (F.size(F.split(y, "_")) >= 2) & F.startswith(x, F.concat(y, F.lit("_")))
+    return F.coalesce((a == b) | starts(a, b) | starts(b, a), F.lit(False))

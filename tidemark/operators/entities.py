@@ -43,3 +43,20 @@ def clear_winner(evidence: DataFrame, query: str, candidate: str, score: str, na
     tied = (s("score") >= b("score") - near) & (s("strong") >= F.greatest(F.lit(0), b("strong") - 1)) & (s("hits") >= F.greatest(F.lit(1), F.floor(0.75 * b("hits"))))
     ambiguous = (F.col("_n") > 1) & ~clear & tied
     return pair.where(~ambiguous).select(query, b(candidate).alias(candidate), b("name").alias("name"), b("score").alias("score"), b("hits").alias("hits"))
+
+
+def first_clear(evidence: DataFrame, query: str, step: str, candidate: str, score: str, name: str, steps: int) -> DataFrame:
+    """The winner at the first step at which the evidence gathered so far has a clear one.
+
+    Evidence of step ``i`` also counts at all later ones (at most ``steps``, a small number
+    of searches), so all steps are judged in one pass instead of one after the other.
+    """
+    later = evidence.select(F.col(query).alias("q"), F.explode(F.sequence(F.col(step), F.lit(steps))).alias("k"), F.col(candidate).alias("c"), F.col(score).alias("s"), F.col(name).alias("n"))
+    won = clear_winner(later.withColumn("qk", F.struct("q", "k")), "qk", "c", "s", "n")
+    first = won.groupBy(F.col("qk.q").alias(query)).agg(F.min_by(F.struct(F.col("qk.k").alias(step), F.col("c").alias(candidate), "name", "score"), F.col("qk.k")).alias("w"))
+    return first.select(query, "w.*")
+
+
+def take_first(df: DataFrame, out: str, options: list[Column]) -> DataFrame:
+    """``out``: the first of several structs that is there - as parties of a deal are told by the best source that names them."""
+    return df.withColumn(out, F.coalesce(*options))
