@@ -60,7 +60,10 @@ def test_abnormal(spark):
 
     rows = [("k", d, v) for d, v in zip(range(-3, 1), (1, 3, 5, 7), strict=True)] + [(None, -1, 2), (None, 0, 2), ("one", 0, 1)]
     df = spark.createDataFrame(rows, "k string, d int, v bigint")
-    got = {(r.k, r.d): r for r in abnormal.abnormal(df, ["k"], "d", (-3, -1), [abnormal.Metric("v", "z", "log1p")]).collect()}
+    how = (df, ["k"], "d", (-3, -1), [abnormal.Metric("v", "z", "log1p")])
+    got = {(r.k, r.d): r for r in abnormal.abnormal(*how).collect()}
+    same = {(r.k, r.d): r for r in abnormal.abnormal(*how, small_keys=True).collect()}
+    assert {k: (r.z and round(r.z, 9), r.estimation_obs_count) for k, r in got.items()} == {k: (r.z and round(r.z, 9), r.estimation_obs_count) for k, r in same.items()}
     base = [math.log(x + 1) for x in (1, 3, 5)]
     assert got["k", 0].z == pytest.approx((math.log(8) - mean(base)) / stdev(base)) and got["k", 0].estimation_obs_count == 3
     assert got[None, 0].z is None and got[None, 0].estimation_obs_count == 1 and got["one", 0].estimation_obs_count is None

@@ -25,14 +25,21 @@ class Metric(NamedTuple):
         raise ValueError(f"unknown transform {self.transform}")
 
 
-def abnormal(df: DataFrame, keys: list[str], relative: str, estimation: tuple[int, int], metrics: list[Metric], count: str = "estimation_obs_count") -> DataFrame:
+def abnormal(df: DataFrame, keys: list[str], relative: str, estimation: tuple[int, int], metrics: list[Metric], count: str = "estimation_obs_count", small_keys: bool = False) -> DataFrame:
     """``df`` with a z-score for each metric and the rows of the baseline.
 
     ``(x - mean) / sample deviation`` over the estimation window of the key; null where the
     deviation is null or zero. ``count`` counts rows, null values too, and is null for none.
     The baseline is joined back from an aggregate: unlike a window over the key it is
-    partially aggregated, so a key that holds a third of all rows sorts nowhere.
+    partially aggregated, so a key that holds a third of all rows sorts nowhere. Where the
+    caller knows that a key has few rows, such as one a day, ``small_keys`` takes the
+    window instead, which reads the rows once.
     """
+    if small_keys:
+        w, here = Window.partitionBy(*keys), F.col(relative).between(*estimation)
+        wide = df.select("*", *(f(F.when(here, m.column())).over(w).alias(f"_{n}_{i}") for i, m in enumerate(metrics) for n, f in (("mu", F.avg), ("sd", F.stddev_samp))), F.nullif(F.count_if(here).over(w), F.lit(0)).alias(count))
+        z = [F.when(F.col(f"_sd_{i}") > 0, (m.column() - F.col(f"_mu_{i}")) / F.col(f"_sd_{i}")).alias(m.output) for i, m in enumerate(metrics)]
+        return wide.select(*df.columns, count, *z)
     inside = F.col(relative).between(*estimation)
     base = df.where(inside).groupBy(*(F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys))).agg(F.count("*").alias(count), *(f(m.column()).alias(f"_{n}_{i}") for i, m in enumerate(metrics) for n, f in (("mu", F.avg), ("sd", F.stddev_samp))))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]

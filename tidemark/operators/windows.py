@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Inclusive offsets in trading rows.
@@ -13,19 +13,25 @@ def in_window(relative: Column | str, bounds: tuple[int, int]) -> Column:
     return (F.col(relative) if isinstance(relative, str) else relative).between(*bounds)
 
 
-def date_map(days: DataFrame, day: str, event: Column, windows: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
+def date_map(days: DataFrame, day: str, event: Column, windows: dict[str, tuple[int, int]] = WINDOWS, most: int = 100_000) -> DataFrame:
     """Each distinct day with its offset in present days to the event's day, the next day and window flags.
 
-    The calendar is whatever days occur: one small row per day, whatever the table. Days
-    outside all windows are left out; an event on a day that isn't there gives no rows.
+    The calendar is whatever days occur. It is counted in one aggregate and held as a local
+    table of a row per day, ``most`` of them at most (270 years of days; more is a
+    ``ValueError``), so that joining it moves and repeats nothing. Days outside all windows
+    are left out; an event on a day that isn't there gives no rows.
     """
-    # A calendar has one row per day; numbering it needs one small task.
-    w = Window.partitionBy(F.lit(0)).orderBy(day)
-    d = days.select(day).where(F.col(day).isNotNull()).distinct().select(day, F.row_number().over(w).alias("_n"), F.lead(day).over(w).alias("next_day"))
-    zero = d.where(F.col(day) == event).select(F.col("_n").alias("_zero"))
+    spark = days.sparkSession
+    have = sorted(r[0] for r in days.select(day).where(F.col(day).isNotNull()).distinct().limit(most + 1).collect())
+    if len(have) > most:
+        raise ValueError(f"more than {most} days")
+    zero = spark.range(1).select(event.alias("e")).first()[0]
+    at = have.index(zero) if zero in have else None
     lo, hi = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
-    out = d.join(F.broadcast(zero)).withColumn("relative_day", (F.col("_n") - F.col("_zero")).cast("bigint"))
-    return out.where(in_window("relative_day", (lo, hi))).select(day, "relative_day", "next_day", *(in_window("relative_day", b).alias(f"is_{n}") for n, b in windows.items()))
+    rows = [] if at is None else [(d, i - at, have[i + 1] if i + 1 < len(have) else None) for i, d in enumerate(have) if lo <= i - at <= hi]
+    kind = days.schema[day].dataType.simpleString()
+    out = spark.createDataFrame(rows, f"`{day}` {kind}, relative_day bigint, next_day {kind}")
+    return out.select("*", *(in_window("relative_day", b).alias(f"is_{n}") for n, b in windows.items()))
 
 
 def window_means(df: DataFrame, keys: list[str], metrics: list[str], flags: list[str], days: str) -> DataFrame:

@@ -123,7 +123,7 @@ _Z = "round(CASE WHEN s0 > 1e-9 THEN (ln(volume + 1) - m0) / s0 END, 5) AS z_vol
 
 
 def _z(df: DataFrame, keys: list[str]) -> DataFrame:
-    z = abnormal.abnormal(df, keys, "relative_day", STUDY["estimation"], METRICS)
+    z = abnormal.abnormal(df, keys, "relative_day", STUDY["estimation"], METRICS, small_keys=True)
     return z.select(*keys, "day", "relative_day", "is_pre_event", "is_announcement", "estimation_obs_count", *(F.round(m.output, 5).alias(m.output) for m in METRICS))
 
 
