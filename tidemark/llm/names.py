@@ -45,7 +45,7 @@ def parse(text: str | None) -> Name:
     t = unicodedata.normalize("NFKC", text or "").lower()
     t = re.sub(r"/[^/]*/|\([^)]*\)", " ", t)
     t = re.sub(r"\b(?:[a-z]\.){2,}", lambda m: m.group().replace(".", "") + " ", t)
-    t = re.sub(r"['’`]", "", t)
+    t = re.sub(r"['’`]|(?<=[a-z]{2})\.(?=[a-z]\b)", "", t)
     t = re.sub(r"\b(?:ltd|limited)\.?\s+partnership\b", "lp", t)
     raw = re.findall(r"[^\W_]+", t)
     legal, tokens = None, []
@@ -108,14 +108,14 @@ def likeness(a: str, b: str, proper: bool) -> float:
     y = b.translate(LOOKS).replace("rn", "m").replace("vv", "w")
     if x == y:
         return 0.95
-    if not proper and (_abbreviates(a, b) or len(a) > 3 and any(_abbreviates(a[:i] + a[i + 1 :], b) for i in range(1, len(a)))):
+    if not proper and (_abbreviates(a, b) or (len(a) > 3 and any(_abbreviates(a[:i] + a[i + 1 :], b) for i in range(1, len(a)))) or any(_abbreviates(a[:i] + a[i + 1] + a[i] + a[i + 2 :], b) for i in range(1, len(a) - 1))):
         return 0.85
     n = min(len(a), len(b))
     if n >= 4:
         d = min(edits(a, b), edits(x, y))
         if d == 1:
             return 0.88
-        if d == 2 and n >= 7:
+        if d == 2 and n >= 7 and not proper:
             return 0.55
     return 0.0
 
@@ -153,7 +153,8 @@ def stands_for(name: Name, listed: Name, strict: bool = True) -> tuple[float, bo
             return 0.0, True
         for j in best[1]:
             used[j] = best[0]
-    if used.get(0, 0.0) < 0.5:
+    # Two edits in the word that names it make another name.
+    if used.get(0, 0.0) < 0.6 and not (person and used.get(0, 0.0) >= 0.5):
         return 0.0, True
     if person and len(right) > 1 and 1 not in used:
         return (0.4, True) if len(left) == 1 else (0.0, True)
