@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,18 +40,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found or have
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Unlike a cache this survives the loss of executors, cuts the lineage of iterative
-    plans, and leaves Catalyst exact row counts and sizes to choose joins by.
+    plans, and leaves Catalyst exact row counts and sizes to choose joins by. The files are
+    deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_delete_written)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_written() -> None:
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    try:
+        for path in _written:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        return
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on Python workers that don't have it on their path.
 
