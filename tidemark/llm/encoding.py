@@ -237,14 +237,17 @@ def _apply(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def _weight(spans: list[tuple[int, int, str]]) -> float:
     """How much an encoding explains: characters replaced, less for readings that are rare."""
-    return sum((b - a) * (1.0 if all(c.isalnum() or c in "’‘“”–—…§£€¥°«»¿¡‑™©®ªº" for c in new) else 0.5) - 0.2 * sum(c in "ÌÍÎÏÐÒØÙÝÞåæìîïðòøùýþÿ" for c in new) for a, b, new in spans)
+    return sum((b - a) * (1.0 if all(c.isalnum() or c.isspace() or c in ".,;:!?()\"-’‘“”–—…§£€¥°«»¿¡‑™©®ªº" for c in new) else 0.5) - 0.2 * sum(c in "ÌÍÎÏÐÒØÙÝÞåæìîïðòøùýþÿ" for c in new) for a, b, new in spans)
 
 
 # A lead character whose partner was dropped: within or after lower case letters it is no capital.
 _LOST = re.compile(r"(?<=[a-zß-ÿ])[ÃÂ](?![A-ZÀ-Ü])|\b[ÃÂ](?=[a-z]{2})|�|â€(?=[\s\w.,;:])")
 
 
-def repair(text: str | None, rounds: int = 3) -> tuple[bool, str | None, bool]:
+_EAST_ASIAN = re.compile("[぀-ヿ一-鿿ｦ-ﾟ가-힣]")
+
+
+def repair(text: str | None, rounds: int = 4) -> tuple[bool, str | None, bool]:
     """``(garbled, restored, whole)`` of one text.
 
     ``restored`` is the text with every garbled span decoded, ``whole`` whether nothing of
@@ -253,19 +256,15 @@ def repair(text: str | None, rounds: int = 3) -> tuple[bool, str | None, bool]:
     if not text or not _FOREIGN.search(text):
         return False, text, True
     now, found = text, False
-    for finder in (_spans_latin, _spans_double):
-        if spans := finder(now):
-            found, now = True, _apply(now, spans)
     for _ in range(rounds):
-        choices = [_spans_one(now, e) for e in ONE_BYTE]
-        choices = [c for c in choices if c]
-        if re.search("[぀-ヿ一-鿿ｦ-ﾟ가-힣]", now):
-            choices += [c for e in TWO_BYTE if (c := _spans_two(now, e))]
-        if not choices:
-            break
+        choices = [_spans_one(now, e) for e in ONE_BYTE] + [_spans_latin(now), _spans_double(now)]
+        if _EAST_ASIAN.search(now):
+            choices += [_spans_two(now, e) for e in TWO_BYTE]
+        # The reading that explains most goes first; what it leaves is met in the next round.
         best = max(choices, key=_weight)
+        if not best:
+            break
         found, now = True, _apply(now, best)
-        # Spans of a second encoding elsewhere in the text are met in the next round.
     if spans := _spans_cyrillic(now):
         found, now = True, _apply(now, spans)
     lost = bool(_LOST.search(now))
