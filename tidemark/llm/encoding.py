@@ -43,9 +43,9 @@ def _table(encoding: str) -> dict[int, str]:
 
     class Bytes(dict):
         def __missing__(self, key: int) -> str:
-            return chr(key) if key < 128 else _NONE
+            return _NONE
 
-    out = Bytes()
+    out = Bytes((b, chr(b)) for b in range(128))
     for b in range(128, 256):
         if encoding == "western":
             out[b] = chr(b)
@@ -60,6 +60,14 @@ def _table(encoding: str) -> dict[int, str]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _hint(encoding: str) -> re.Pattern:
+    """A lead byte before a continuation byte: without one no span begins."""
+    t = _table(encoding)
+    some = lambda lo, hi: "".join(re.escape(chr(c)) for c, b in t.items() if c > 127 and b != _NONE and lo <= ord(b) <= hi)
+    return re.compile(f"[{some(0xC2, 0xF4)}][{some(0x80, 0xBF)}]")
+
+
 def _fits(old: str, new: str) -> bool:
     """Whether a span is better read as ``new``: all of it plausible and of letters of one kind or marks."""
     if not new or not all(_PLAUSIBLE.match(c) or _CONTROL.match(c) for c in new):
@@ -73,7 +81,9 @@ def _fits(old: str, new: str) -> bool:
 
 
 def _spans_one(text: str, encoding: str) -> list[tuple[int, int, str]]:
-    out = []
+    out: list[tuple[int, int, str]] = []
+    if not _hint(encoding).search(text):
+        return out
     for m in SPAN.finditer(text.translate(_table(encoding))):
         new = m.group().encode("latin-1").decode("utf-8")
         old = text[m.start() : m.end()]
@@ -209,8 +219,13 @@ DOUBLE = (
 )
 
 
+_THREE_ODD = re.compile(r"[^\x00-\x7f].?[^\x00-\x7f].?[^\x00-\x7f]", re.S)
+
+
 def _spans_double(text: str) -> list[tuple[int, int, str]]:
     """Spans that are well-formed East Asian text under a two-byte encoding read as a western one."""
+    if not _THREE_ODD.search(text):
+        return []
     whole = text.translate(_table("western"))
     utf8 = [(m.start(), m.end()) for m in SPAN.finditer(whole)]
     choices = []
