@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words of all regions that are verified together, at most (a longer one goes alone).
+CELLS = 4_000_000
 _IN_NUMBER = re.compile(r"(?<=\d)[,.](?=\d)")
 _DROPPED = re.compile(r"['’`´]")
 _WORD = re.compile(r"[^\W_]+")
@@ -103,22 +105,35 @@ class Passages:
         """For each (document, region) whether one of its windows is held there."""
         m, budget = self.window, self.changed + self.stray
         found = np.zeros(len(jobs), bool)
-        lanes = [(j, s) for j, (_, r) in enumerate(jobs) for s in range(r[1], r[2] + 1)]
-        job, start = np.array([x[0] for x in lanes]), np.array([x[1] for x in lanes])
-        length = np.array([jobs[j][1][4] - jobs[j][1][3] for j in job])
+        regions = np.array([r for _, r in jobs])
+        count = regions[:, 2] - regions[:, 1] + 1
+        length = regions[:, 4] - regions[:, 3]
         longest = int(length.max())
-        pattern = np.stack([self.items[jobs[j][1][0]][s : s + m] for j, s in lanes])
+        # The words of all windows of a job lie in one stretch; a lane is a window's place in it.
+        words = np.concatenate([self.items[r[0]][r[1] : r[2] + m] for r in regions])
+        owner = np.repeat(np.arange(len(jobs)), count + m - 1)
+        offset = np.concatenate(([0], (count + m - 1).cumsum()[:-1]))
+        job = np.repeat(np.arange(len(jobs)), count)
+        lane = offset[job] + np.arange(len(job)) - np.concatenate(([0], count.cumsum()[:-1]))[job]
         text = np.full((longest, len(jobs)), -1, np.int64)
         for j, (doc, r) in enumerate(jobs):
             text[: r[4] - r[3], j] = doc[r[3] : r[4]]
         top, one = np.uint64(m - 1), np.uint64(1)
-        weight = one << np.arange(m, dtype=np.uint64)
-        pv, mv = np.full(len(lanes), ~np.uint64(0)), np.zeros(len(lanes), np.uint64)
-        score = np.full(len(lanes), m, np.int64)
+        pad = np.zeros(m, np.uint64)
+        lanes = len(job)
+        pv, mv = np.full(lanes, ~np.uint64(0)), np.zeros(lanes, np.uint64)
+        score = np.full(lanes, m, np.int64)
         best = score.copy()
         for t in range(longest):
-            w = text[t][job]
-            eq = ((pattern == w[:, None]) * weight).sum(1, dtype=np.uint64)
+            # Bits of each window that the word equals, by doubling runs of 1, 2, 4 ... words.
+            bits, width, done, eq = np.concatenate(((words == text[t][owner]).astype(np.uint64), pad)), 1, 0, np.zeros(lanes, np.uint64)
+            while done < m:
+                if m & width:
+                    eq |= bits[lane + done] << np.uint64(done)
+                    done += width
+                if done < m:
+                    bits[:-width] |= bits[width:] << np.uint64(width)
+                    width *= 2
             xv = eq | mv
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph, mh = mv | ~(xh | pv), pv & xh
@@ -131,7 +146,7 @@ class Passages:
         for n in np.flatnonzero((best > self.changed) & (best <= budget)):
             if not found[job[n]]:
                 doc, r = jobs[job[n]]
-                found[job[n]] = self.held(pattern[n], doc[r[3] : r[4]])
+                found[job[n]] = self.held(words[lane[n] : lane[n] + m], doc[r[3] : r[4]])
         return found
 
     def held(self, pattern: np.ndarray, text: np.ndarray) -> bool:
@@ -165,8 +180,11 @@ class Passages:
         i = 0
         while i < len(order):
             n, j = 0, i
+            # Regions of like length go together: the longest sets the cost of all.
             while j < len(order) and (n == 0 or n < lanes):
                 r = jobs[order[j]][1]
+                if n and (r[4] - r[3]) * (j - i + 1) > CELLS:
+                    break
                 n += r[2] - r[1] + 1
                 j += 1
             ok = self.verify([jobs[o] for o in order[i:j]])
