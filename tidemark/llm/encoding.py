@@ -287,7 +287,11 @@ def repair(text: str | None, rounds: int = 4) -> tuple[bool, str | None, bool]:
 
 
 def repaired(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, restored, whole`` of the garbled documents only, one row each; no shuffle."""
+    """``key, restored, whole`` of the garbled documents only, one row each; no shuffle.
+
+    Null, empty, blank and plain ASCII texts are never garbled. Repeated rows each give a
+    row, other columns of ``docs`` are left out, and an empty table gives an empty one.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
