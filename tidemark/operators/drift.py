@@ -85,7 +85,8 @@ def file_columns(lines: DataFrame, canonical: tuple[tuple[str, str], ...]) -> Da
     with another number of cells don't count for types. The kind of a column is that of most
     of its non-blank cells (the first by name among equals), null where all are blank. Each
     distinct schema is matched by similarity flooding; a column that fits nothing keeps its
-    own name.
+    own name. Null texts, lines without file and an empty table give nothing; columns of
+    ``lines`` beyond the ones used are left out.
     """
     heads = materialise(_headers(lines))
     counts = _kinds(lines, heads)
