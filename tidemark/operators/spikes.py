@@ -47,7 +47,8 @@ def _esd_limit(n: int, i: int, alpha: float) -> float:
     if m < 3:
         return math.inf
     t = _t_quantile(1 - alpha / (2 * m), m - 2)
-    return (m - 1) * t / math.sqrt((m - 2 + t * t) * m) if m < 40 else t
+    # With the plain mean and deviation a short series bounds its own deviates; median and MAD don't.
+    return max((m - 1) * t / math.sqrt((m - 2 + t * t) * m), 3.0) if m < 40 else t
 
 
 def _group_median(code: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -73,17 +74,23 @@ def _row_median(m: np.ndarray) -> np.ndarray:
     return (m[at, np.maximum(n - 1, 0) // 2] + m[at, np.where(n > 0, n // 2, 0)]) / 2
 
 
-def _around(values: np.ndarray, group: np.ndarray, offsets: list[int]) -> np.ndarray:
-    """For each date the values at the given offsets within its group; NaN beyond it."""
+def _around(values: np.ndarray, group: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each date the nearest dates with a value within its group, before and after it; NaN beyond it."""
     n = len(values)
-    out = np.full((n, len(offsets)), np.nan)
-    at = np.arange(n)
-    for j, o in enumerate(offsets):
-        k = at + o
-        ok = (k >= 0) & (k < n)
-        ok[ok] = group[k[ok]] == group[at[ok]]
-        out[ok, j] = values[k[ok]]
-    return out
+    used = np.flatnonzero(~np.isnan(values))
+    out = []
+    for count, side in ((before, -1), (after, 1)):
+        m = np.full((n, count), np.nan)
+        if len(used):
+            at = np.searchsorted(used, np.arange(n), "left" if side < 0 else "right")
+            for k in range(count):
+                j = at - 1 - k if side < 0 else at + k
+                ok = (j >= 0) & (j < len(used))
+                i = used[np.clip(j, 0, len(used) - 1)]
+                ok &= group[i] == group
+                m[ok, k] = values[i[ok]]
+        out.append(m)
+    return out[0], out[1]
 
 
 def spikes_of(group: np.ndarray, day: np.ndarray, value: np.ndarray, alpha: float, floor: float, least: float) -> np.ndarray:
@@ -94,50 +101,43 @@ def spikes_of(group: np.ndarray, day: np.ndarray, value: np.ndarray, alpha: floa
     n_dates, n_groups = date[-1] + 1, group[-1] + 1
     first = np.flatnonzero(new_date)
     date_group = group[first]
-    # Dates without a usable reading don't count as neighbours: neighbours are taken among the rest.
-    rep = _group_median(date, x, n_dates)
-    several = np.bincount(date[~np.isnan(x)], minlength=n_dates)[date] > 1
-    used = np.flatnonzero(~np.isnan(rep))
-    slot = np.full(n_dates, -1)
-    slot[used] = np.arange(len(used))
-    sides = [-k for k in range(1, REACH + 1)], list(range(1, REACH + 1))
-    if several.any() and len(used):
-        # Of several readings of a day the one nearest its neighbours stands for the day.
-        near = np.full(n_dates, np.nan)
-        near[used] = _row_median(_around(rep[used], date_group[used], sides[0] + sides[1]))
-        far = np.where(np.isnan(near[date]), 0, np.abs(x - near[date]))
-        order = np.lexsort((far, date))
-        order = order[~np.isnan(x[order])]
-        d0, at = np.unique(date[order], return_index=True)
-        rep[d0] = x[order[at]]
-    # Seasonal part: the median residual of a weekday, kept only where a weekday has enough dates.
-    trend = np.full(n_dates, np.nan)
-    trend[used] = _row_median(_around(rep[used], date_group[used], [-2, -1, 0, 1, 2]))
-    week = date_group * 5 + (day[first] + 3) % 7 % 5
-    level = np.where(np.bincount(week, minlength=n_groups * 5) >= 8, np.nan_to_num(_group_median(week, rep - trend, n_groups * 5)), 0)[week]
-    rep, x = rep - level, x - level[date]
-    before, after = np.full(n_dates, np.nan), np.full(n_dates, np.nan)
-    m = _around(rep[used], date_group[used], sides[0]), _around(rep[used], date_group[used], sides[1])
-    before[used], after[used] = _row_median(m[0]), _row_median(m[1])
-    a, b = x - before[date], x - after[date]
-    residual = np.where(np.sign(a) == np.sign(b), np.sign(a) * np.minimum(np.abs(a), np.abs(b)), 0)
-    residual[np.isnan(a) | np.isnan(b) | np.isnan(x)] = np.nan
-    # Usual move: from one date to the next, as a robust deviation.
-    step = np.full(n_dates, np.nan)
-    step[used] = np.abs(rep[used] - _around(rep[used], date_group[used], [-1])[:, 0])
-    usual = 1.4826 * _group_median(date_group, step, n_groups)
-    spread = 1.4826 * _group_median(group, np.abs(residual), n_groups)
-    sigma = np.maximum(np.fmax(np.nan_to_num(usual), np.nan_to_num(spread)), floor)
-    score = np.abs(residual) / sigma[group]
-    size = np.bincount(group[~np.isnan(residual)], minlength=n_groups)
-    order = np.lexsort((-np.nan_to_num(score, nan=-1), group))
-    rank = np.empty(len(x), np.int64)
     starts = np.concatenate(([0], np.bincount(group, minlength=n_groups).cumsum()[:-1]))
-    rank[order] = np.arange(len(x)) - starts[group[order]] + 1
-    limit = np.array([_esd_limit(int(n), 1, alpha) if n >= MIN_DATES else math.inf for n in size])
-    # GESD: up to a quarter of the readings; the largest i with its deviate over the limit makes the first i outliers.
-    over = (score > limit[group]) & (rank <= np.maximum(size[group] // 4, 1)) & ~np.isnan(score)
-    return over & (np.abs(np.nan_to_num(residual)) >= least)
+    week = date_group * 5 + (day[first] + 3) % 7 % 5
+    found = np.zeros(len(x), bool)
+    # Twice: what is found first no longer counts as anybody's neighbour or usual move.
+    for _ in range(2):
+        good = np.where(found, np.nan, x)
+        rep = _group_median(date, good, n_dates)
+        several = np.bincount(date[~np.isnan(good)], minlength=n_dates) > 1
+        if several.any():
+            # Of several readings of a day the one nearest its neighbours stands for the day.
+            near = _row_median(np.hstack(_around(rep, date_group, REACH, REACH)))
+            far = np.where(np.isnan(near[date]), 0, np.abs(good - near[date]))
+            order = np.lexsort((far, date))
+            order = order[~np.isnan(good[order])]
+            d0, at = np.unique(date[order], return_index=True)
+            rep[d0] = good[order[at]]
+        # Seasonal part: the median residual of a weekday, kept only where a weekday has enough dates.
+        trend = _row_median(np.hstack((*_around(rep, date_group, 2, 2), rep[:, None])))
+        level = np.where(np.bincount(week, minlength=n_groups * 5) >= 8, np.nan_to_num(_group_median(week, rep - trend, n_groups * 5)), 0)[week]
+        rep = rep - level
+        before, after = _around(rep, date_group, REACH, REACH)
+        # Usual move: from one date to the next, as a robust deviation.
+        usual = 1.4826 * _group_median(date_group, np.abs(rep - before[:, 0]), n_groups)
+        a, b = x - level[date] - _row_median(before)[date], x - level[date] - _row_median(after)[date]
+        residual = np.where(np.sign(a) == np.sign(b), np.sign(a) * np.minimum(np.abs(a), np.abs(b)), 0)
+        residual[np.isnan(a) | np.isnan(b)] = np.nan
+        spread = 1.4826 * _group_median(group, np.where(found, np.nan, np.abs(residual)), n_groups)
+        sigma = np.maximum(np.fmax(np.nan_to_num(usual), np.nan_to_num(spread)), floor)
+        score = np.abs(residual) / sigma[group]
+        size = np.bincount(group[~np.isnan(residual)], minlength=n_groups)
+        order = np.lexsort((-np.nan_to_num(score, nan=-1), group))
+        rank = np.empty(len(x), np.int64)
+        rank[order] = np.arange(len(x)) - starts[group[order]] + 1
+        limit = np.array([_esd_limit(int(n), 1, alpha) if n >= MIN_DATES else math.inf for n in size])
+        # GESD: up to a quarter of the readings; those over the limit are outliers.
+        found = (score > limit[group]) & (rank <= np.maximum(size[group] // 4, 1)) & ~np.isnan(score)
+    return found & (np.abs(np.nan_to_num(residual)) >= least)
 
 
 def constant_runs(group: np.ndarray, day: np.ndarray, readings: list[np.ndarray], length: int) -> np.ndarray:
