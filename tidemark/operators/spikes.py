@@ -48,7 +48,7 @@ def _esd_limit(n: int, i: int, alpha: float) -> float:
         return math.inf
     t = _t_quantile(1 - alpha / (2 * m), m - 2)
     # With the plain mean and deviation a short series bounds its own deviates; median and MAD don't.
-    return max((m - 1) * t / math.sqrt((m - 2 + t * t) * m), 3.0) if m < 40 else t
+    return max((m - 1) * t / math.sqrt((m - 2 + t * t) * m), 2.5) if m < 40 else t
 
 
 def _group_median(code: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -104,8 +104,10 @@ def spikes_of(group: np.ndarray, day: np.ndarray, value: np.ndarray, alpha: floa
     starts = np.concatenate(([0], np.bincount(group, minlength=n_groups).cumsum()[:-1]))
     week = date_group * 5 + (day[first] + 3) % 7 % 5
     found = np.zeros(len(x), bool)
-    # Twice: what is found first no longer counts as anybody's neighbour or usual move.
-    for _ in range(2):
+    # Twice: first against the medians of the dates around, which other spikes can't move;
+    # then what was found no longer counts as anybody's neighbour or usual move, and the
+    # nearest dates tell best.
+    for reach in (REACH, 1):
         good = np.where(found, np.nan, x)
         rep = _group_median(date, good, n_dates)
         several = np.bincount(date[~np.isnan(good)], minlength=n_dates) > 1
@@ -124,7 +126,7 @@ def spikes_of(group: np.ndarray, day: np.ndarray, value: np.ndarray, alpha: floa
         before, after = _around(rep, date_group, REACH, REACH)
         # Usual move: from one date to the next, as a robust deviation.
         usual = 1.4826 * _group_median(date_group, np.abs(rep - before[:, 0]), n_groups)
-        a, b = x - level[date] - _row_median(before)[date], x - level[date] - _row_median(after)[date]
+        a, b = (x - level[date] - _row_median(m[:, :reach])[date] for m in (before, after))
         residual = np.where(np.sign(a) == np.sign(b), np.sign(a) * np.minimum(np.abs(a), np.abs(b)), 0)
         residual[np.isnan(a) | np.isnan(b)] = np.nan
         spread = 1.4826 * _group_median(group, np.where(found, np.nan, np.abs(residual)), n_groups)
