@@ -1,12 +1,25 @@
-"""Text taken out of filings: plain text, labels, excerpts, parties. All built-in expressions."""
+"""Text taken out of filings: plain text, labels, excerpts, parties. Built-in expressions but for entities."""
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# Comments and tags. A bracket that no name follows is text, one in a quoted value ends no
+# tag; a tag of more values than the first form counts ends at its first bracket.
+_TAG = r"""(?s)<!--.*?-->|<(?:!|[/?]?[A-Za-z])(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=){0,500}+>|<(?:!|[/?]?[A-Za-z])[^>]*>"""
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
+
 
-# Entities that are decoded.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&sect;": "§", "&amp;": "&"}
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Every named or numbered entity once, so that ``&amp;lt;`` gives ``&lt;``."""
+    return texts.map(lambda t: _ENTITY.sub(lambda m: html.unescape(m.group()), t), na_action="ignore")
 
 
 def plain_text(c: Column | str, header_end: str | None = None) -> Column:
@@ -16,10 +29,8 @@ def plain_text(c: Column | str, header_end: str | None = None) -> Column:
         at = F.locate(header_end, c)
         c = F.when(at > 0, F.substr(c, at + len(header_end))).otherwise(c)
     c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for e, v in ENTITIES.items():
-        c = F.replace(c, F.lit(e), F.lit(v))
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    c = _decoded(F.regexp_replace(c, _TAG, " "))
+    return F.trim(F.regexp_replace(c, "[\\s\u00a0]+", " "))
 
 
 def label_hits(c: Column | str, labels: dict[str, str]) -> Column:

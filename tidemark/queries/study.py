@@ -388,6 +388,12 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", markup.plain_text(html).alias("plain"))
 
 
+@query()
+def html_to_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document out of whatever markup it holds itself; ``html_to_text`` is the part that its SQL can tell."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", markup.plain_text("text").alias("plain"))
+
+
 # Labels and weights of the classifier below; patterns are a parameter of it.
 LABELS = {"merger agreement": "merger agreement", "tender": "tender(?:ed)?", "to be acquired by": "to be acquired by", "will pay": "will pay", "record date": "record date"}
 WEIGHTS = {"merger agreement": 2, "tender": 2, "to be acquired by": 2, "will pay": 1, "record date": -3}
