@@ -66,6 +66,18 @@ def test_link(spark):
     assert link(a.limit(0), b, c).count() == link(a, b.limit(0), c).count() == 0
 
 
+@pytest.mark.parametrize("ninth", ["name", "code"])
+def test_every_spelling_and_code_of_a_source_counts(spark, ninth):
+    spellings = [f"{a}karo Foods Inc." for a in ("Bel", "Dov", "Fim", "Gun", "Hep", "Jos", "Lut", "Mav")]
+    rows = [("7", n, f"T{i}X", None, None) for i, n in enumerate(spellings) for _ in range(3)]
+    rows += [("7", "Zuprenol Realty Corp.", None, None, None) if ninth == "name" else ("7", spellings[0], "ZQZ", None, None)]
+    rows += [(str(100 + i), f"Other{a}ix Energy LLC", f"O{a}".upper(), None, None) for i, a in enumerate("abcdefgh")]
+    party = (1, "Zuprenol Realty Corp.", None, None, None, None, 1) if ninth == "name" else (1, None, "ZQZ", None, None, None, 1)
+    others = [(2 + i, f"Other{a}ix Energy LLC", f"O{a}".upper(), None, None, None, 1) for i, a in enumerate("abcdefgh")]
+    got = link(spark.createDataFrame([party, *others], PARTY), spark.createDataFrame(rows, SOURCE), spark.createDataFrame([], BRIDGE), least=0.0).collect()
+    assert (1, "7") in {(r.party_id, r.source_gvkey) for r in got}
+
+
 def test_resolve(spark):
     listed = spark.createDataFrame([("0000000001", LISTED, "QAB"), ("0000000001", LISTED, "QAB"), ("0000000002", "Zourvean Communications Ltd.", None), ("0000000003", "Zourvean Petroleum Corp.", "ZZZ"), ("0000000004", "TENDIIX ROBERT E", None), (None, "x", None)], "id string, name string, t string")
     names = {"Voumouil G. Bancorp": "1", "Zourvean Commns": "2", "zourvean pete corp": "3", "Bob Tendiix": "4", "Zourvean": None, "Zourvean Foods Inc.": None, "": None, " ": None, "q" * 5000: None, LISTED: "1"}

@@ -1,7 +1,7 @@
 """Matching entities of two sources without a shared key, with a confidence for each match.
 
 Candidates share a block: a telling word of the name up to one edit, a code, or a number of
-a third table. Several matching functions vote on each candidate and a label model weighs
+a third table. All distinct names and codes of a source take part. Several matching functions vote on each candidate and a label model weighs
 them (see ``labelmodel``).
 """
 
@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text_keys as K
@@ -21,8 +21,6 @@ from tidemark.llm.labelmodel import LabelModel
 from tidemark.llm.names import BRACKETED, parse, stands_for
 from tidemark.session import materialise
 
-#: Spellings and codes that describe an entity: its most frequent ones.
-PROFILE = 8
 # Voters and how far each level speaks for a match before anything is learned.
 VOTERS = {
     "name": {1: 0.02, 2: 0.55, 3: 0.85, 4: 0.97},
@@ -34,41 +32,51 @@ VOTERS = {
 }
 
 
-def profiles(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, <column>s, <column>s_main``: the most frequent values of each key (ties by value), and those among them with the top count.
+def counted_forms(rows: DataFrame, column: str) -> DataFrame:
+    """``g, v, n, main``: every distinct value of each source, how often it has it, and whether no other is more frequent."""
+    n = rows.where(F.col(column).isNotNull()).groupBy("g", F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    top = n.groupBy("g").agg(F.max("n").alias("top"))
+    return n.join(top, "g").select("g", "v", "n", (F.col("n") == F.col("top")).alias("main"))
 
-    Counted before they are gathered, so that no task sees a key's rows.
+
+def name_score(name: str, form: str) -> tuple[float, bool, int]:
+    """How well one of two names stands for the other, whether wholly, and the vote of their legal forms."""
+    mine, other = parse(name), parse(form)
+    score, partial = max(stands_for(mine, other, False), stands_for(other, mine, False), key=lambda x: (x[0], not x[1]))
+    return score, not partial, 0 if not mine.legal or not other.legal or score == 0.0 else 2 if mine.legal == other.legal else 1
+
+
+def name_votes(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``party_id, g, name, legal``: votes of the names of candidates (party_id, g, typed): 4 all words, 3 nearly, 2 partly, 1 not, 0 a side has none.
+
+    A candidate is scored against each form of its source in a row of its own and the best
+    counts (of equal ones the more frequent, then the legal form that fits better).
     """
-    n = rows.where(F.col(column).isNotNull() & F.col(key).isNotNull()).groupBy(key, column).agg(F.count("*").alias("n"))
-    # Spark limits the groups of such a window before it shuffles them.
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), column))
-    top = n.withColumn("rank", rank).where(F.col("rank") <= PROFILE).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "n", column))).alias("top"))
-    main = F.filter("top", lambda x: x["n"] == F.col("top")[0]["n"])
-    return top.select(key, F.col(f"top.{column}").alias(f"{column}s"), main[column].alias(f"{column}s_main"))
-
-
-def name_vote(name: str | None, forms: list[str] | None) -> tuple[int, int]:
-    """Votes of the names: 4 all words, 3 nearly, 2 partly, 1 not; and of the legal forms."""
-    if not name or forms is None or not len(forms):
-        return 0, 0
-    mine = parse(name)
-    best, legal = (0.0, True), 0
-    for f in forms:
-        other = parse(f)
-        got = max(stands_for(mine, other, False), stands_for(other, mine, False), key=lambda x: (x[0], not x[1]))
-        if (got[0], not got[1]) > (best[0], not best[1]):
-            best = got
-            legal = 0 if not mine.legal or not other.legal else 2 if mine.legal == other.legal else 1
-    if best[0] == 0.0:
-        return 1, 0
-    return (2 if best[1] and best[0] < 0.75 else 3 if best[1] or best[0] < 0.9 else 4), legal
-
-
-def code_vote(mine: str | None, theirs: list[str], main: list[str]) -> int:
-    """2 the same code, 3 one that the other side has beside a more frequent one, 1 another one, 0 a side has none."""
-    if mine is None or not len(theirs):
-        return 0
-    return 2 if mine in main else 3 if mine in theirs else 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            got = [name_score(a, b) for a, b in zip(x["typed"], x["v"], strict=True)]
+            yield pd.concat([x[["party_id", "g", "n"]].reset_index(drop=True), pd.DataFrame(got, columns=["score", "whole", "legal"])], axis=1)
+
+    scored = pairs.where("typed <> ''").join(names, "g").select("party_id", "g", "n", "typed", "v")
+    scored = scored.mapInPandas(run, "party_id bigint, g string, n bigint, score double, whole boolean, legal int")
+    best = scored.groupBy("party_id", "g").agg(F.max(F.struct("score", "whole", "n", "legal")).alias("b")).select("party_id", "g", "b.*")
+    level = F.when(F.col("score") == 0, 1).when(~F.col("whole") & (F.col("score") < 0.75), 2).when(~F.col("whole") | (F.col("score") < 0.9), 3).otherwise(4)
+    return best.select("party_id", "g", level.alias("name"), "legal")
+
+
+def code_votes(pairs: DataFrame, shared: DataFrame, firms: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The candidates with the votes of their codes: 2 the same code, 3 one that the source has beside a more frequent one, 1 another one, 0 a side has none.
+
+    Each code of a party is looked up among all codes (g, v, main) of the source.
+    """
+    out = pairs
+    for vote, mine, theirs in (("ticker", "t", shared), ("symbol", "s", shared), ("firm", "f", firms), ("cik", "c", numbers)):
+        has = theirs.select("g").distinct().withColumn("has", F.lit(True))
+        out = out.join(theirs.select("g", F.col("v").alias(mine), "main"), ["g", mine], "left").join(has, "g", "left")
+        level = F.when(F.col(mine).isNull() | F.col("has").isNull(), 0).when(F.col("main"), 2).when(~F.col("main"), 3).otherwise(1)
+        out = out.withColumn(vote, level).drop("has", "main")
+    return out
 
 
 def link(left: DataFrame, right: DataFrame, bridge: DataFrame, *, least: float = 0.5) -> DataFrame:
@@ -86,32 +94,24 @@ def link(left: DataFrame, right: DataFrame, bridge: DataFrame, *, least: float =
     rows = right.select(K.gvkey("source_gvkey").alias("g"), F.col("source_name").alias("name"), K.symbol("source_ticker").alias("t"), K.symbol("source_firm_id").alias("f"))
     rows = rows.where("g is not null").withColumn("t", F.coalesce("t", code("name")))
     b = bridge.select(K.gvkey("gvkey").alias("g"), K.symbol("firm_id").alias("f"), K.cik10("cik").alias("c"))
-    # A source's own codes come first; the bridge adds the firm and number of its gvkey.
+    # To a source's own codes the bridge adds the firm and number of its gvkey.
+    sources = materialise(rows.select("g").distinct())
     firms = rows.select("g", "f").unionAll(b.select("g", "f").distinct())
-    sources = rows.select("g").distinct()
-    for values, column in ((rows, "name"), (rows, "t"), (firms, "f"), (b, "c")):
-        sources = sources.join(profiles(values.select("g", column), "g", column), "g", "left")
-    sources = materialise(sources)
+    names, tickers, firms, numbers = (materialise(counted_forms(x.join(sources, "g"), c)) for x, c in ((rows, "name"), (rows, "t"), (firms, "f"), (b, "c")))
 
-    common = common_words(sources.select("g", F.explode("names").alias("name")), "g", "name")
+    common = common_words(names, "g", "v")
     mine = [name_keys(party, "party_id", "name", common), *(code_keys(party, "party_id", c, "code") for c in ("t", "s", "f")), code_keys(party, "party_id", "c", "cik")]
-    spread = lambda c: sources.select("g", F.explode(c).alias("v"))
-    theirs = [name_keys(spread("names"), "g", "v", common), *(code_keys(spread(c), "g", "v", "code") for c in ("ts", "fs")), code_keys(spread("cs"), "g", "v", "cik")]
+    theirs = [name_keys(names, "g", "v", common), *(code_keys(x, "g", "v", "code") for x in (tickers, firms)), code_keys(numbers, "g", "v", "cik")]
     union = lambda dfs: reduce(DataFrame.unionAll, dfs)
     pairs = candidates(union(mine), union(theirs), "party_id", "g")
-    full = pairs.join(party, "party_id").join(sources, "g")
-
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            some = lambda v: [] if v is None else list(v)
-            for name, t, s, f, c, names, *codes in zip(*(x[k] for k in ("name", "t", "s", "f", "c", "names", "ts", "ts_main", "fs", "fs_main", "cs", "cs_main")), strict=True):
-                ts, tm, fs, fm, cs, cm = map(some, codes)
-                out.append((*name_vote(name, names), code_vote(t, ts + fs, tm + fm), code_vote(s, ts + fs, tm + fm), code_vote(f, fs, fs), code_vote(c, cs, cs)))
-            yield pd.concat([x[["party_id", "g"]].reset_index(drop=True), pd.DataFrame(out, columns=list(VOTERS))], axis=1)
-
-    schema = "party_id bigint, g string, " + ", ".join(f"{v} int" for v in VOTERS)
-    votes = materialise(full.mapInPandas(vote, schema))
+    full = materialise(pairs.join(party.withColumnRenamed("name", "typed"), "party_id"))
+
+    # Of a number or a firm the frequency says nothing; of the other codes it does.
+    any_ = lambda x: x.select("g", "v", F.lit(True).alias("main"))
+    shared = tickers.unionAll(firms).groupBy("g", "v").agg(F.max("main").alias("main"))
+    coded = code_votes(full, shared, any_(firms), any_(numbers))
+    voted = coded.join(name_votes(full, names), ["party_id", "g"], "left").fillna(0, ["name", "legal"])
+    votes = materialise(voted.select("party_id", "g", *VOTERS))
     counted = votes.groupBy(*VOTERS).agg(F.count("*").alias("n")).toPandas()  # at most the product of the levels
     kinds = left.schema["party_id"].dataType.simpleString()
     if not len(counted):
