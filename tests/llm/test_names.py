@@ -93,3 +93,22 @@ def test_merged_spellings_bring_in_others(spark):
     for number, found in ((None, 1), ("0000000001", 2)):
         rows = [("Karvonolt Instruments Inc.", None, number), ("Karvonoltt Instruments Inc.", None, None)]
         assert resolve(spark.createDataFrame(rows, "name string, t string, c string"), listed).count() == found
+
+
+def test_many_of_one_first_word_still_share_blocks():
+    from tidemark.llm.blocking import Common, deletions, keys_of
+
+    blocks = lambda n, c, *a: {k[0] for k in keys_of(n, c, *a)}
+    common = Common(frozenset({"tendiix"}), frozenset(deletions("tendiix")))
+    for typed in ("Bob Tendiix", "R. Tendiix", "Tendiix RE", "Robret Tendix", "Tendiix", "Rob Tnediix"):
+        assert stands_for(parse(typed), parse("TENDIIX ROBERT E"))[0] > 0
+        assert blocks(typed, common) & blocks("TENDIIX ROBERT E", common, True), typed
+    assert blocks("Tendiix Holdco Inc", common) & blocks("Tendiix Inc", common, True)
+
+
+def test_resolve_among_many_of_one_surname(spark):
+    others = ("SUSAN", "PETER", "GEORGE", "WALTER", "HENRY", "LOUIS", "VICTOR", "OSCAR", "NORMAN", "FELIX", "IVAN", "KEITH")
+    listed = [(f"{i:010d}", f"TENDIIX {n} E", None) for i, n in enumerate(("ROBERT", *others))]
+    rows = spark.createDataFrame([("Bob Tendiix", None, None)], "name string, t string, c string")
+    got = resolve(rows, spark.createDataFrame(listed, "id string, name string, t string")).collect()
+    assert [r.id for r in got] == ["0000000000"]

@@ -3,66 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.names import LOOKS, deletions, parse
+from tidemark.llm.names import _SHORT, LOOKS, NICKNAMES, deletions, parse
 
 
-def common_words(names: DataFrame, entity: str, name: str, most: int = 12) -> frozenset[str]:
-    """Words in names of more than ``most`` entities: trades and their short forms, first names.
+class Common(NamedTuple):
+    words: frozenset[str]
+    leading: frozenset[str]
 
-    Alone they make no blocks, so a block has at most ``most`` entities of this side;
-    together with another word of the name they do. They are few: at most a ``most``-th of
-    the words of all names, of which nearly all tell one family of names.
+
+def common_words(names: DataFrame, entity: str, name: str, most: int = 12) -> Common:
+    """Words in names of more than ``most`` entities: trades and their short forms, first names; and what the first words among them give with a letter left out.
+
+    Alone they make no blocks but as first words, which tell who it is: those blocks are
+    split by the letters that another word of the name may begin with. They are few: at most
+    a ``most``-th of the words of all names, of which nearly all tell one family of names.
     """
     distinct = names.select(F.col(entity).cast("string").alias("e"), F.col(name).alias("n")).where("n is not null").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(e, w) for e, n in zip(b["e"], b["n"], strict=True) for w in set(parse(n).tokens)], columns=["e", "w"])
+            yield pd.DataFrame([(e, w, w == t[0]) for e, n in zip(b["e"], b["n"], strict=True) for t in [parse(n).tokens] for w in set(t)], columns=["e", "w", "first"])
+
+    words = distinct.mapInPandas(run, "e string, w string, first boolean").groupBy("e", "w").agg(F.max("first").alias("first"))
+    found = words.groupBy("w").agg(F.count("*").alias("n"), F.max("first").alias("first")).where(F.col("n") > most).select("w", "first").collect()
+    return Common(frozenset(w for w, _ in found), frozenset(k for w, first in found if first for v in variants(w) for k in deletions(v)))
+
 
-    words = distinct.mapInPandas(run, "e string, w string").distinct().groupBy("w").count().where(F.col("count") > most)
-    return frozenset(r[0] for r in words.select("w").collect())
+def variants(word: str) -> set[str]:
+    """The word, and with the letters that its signs look like."""
+    return {word, word.translate(LOOKS).replace("rn", "m").replace("vv", "w")}
 
 
-def keys_of(name: str | None, common: frozenset[str]) -> set[tuple[int, str, int, str | None]]:
+def beginnings(word: str) -> set[str]:
+    """Letters of which words that stand for one another share one: the first three, as up to two edits may fall on the start, and the first of its nicknames and of what it is one of."""
+    return {c for v in variants(word) for c in v[:3]} | {n[0] for n in (*NICKNAMES.get(word, "").split(), *_SHORT.get(word, ()))}
+
+
+def keys_of(name: str | None, common: Common, listed: bool = False) -> set[tuple[int, str, int, str | None]]:
     """``(block, word, initials, legal)`` of one name: a block for each telling word and each
     two neighbours written together, with every letter of it left out once, and for every
-    two words; the initials of the other words as bits, and the legal form."""
+    two words; the initials of the other words as bits, and the legal form.
+
+    A common first word of a ``listed`` name meets any word of the others, split by the
+    beginnings of their other words; a name of one word meets it without them."""
     tokens, legal, _ = parse(name)
     out = set()
+    digest = lambda k: xxhash.xxh64_intdigest(k) - (1 << 63)
 
     def add(word: str, rest: list[str]) -> None:
         bits = 0
         for w in rest:
             bits |= 1 << (ord(w[0]) % 31)
-        for v in {word, word.translate(LOOKS).replace("rn", "m").replace("vv", "w")}:
-            out.update((xxhash.xxh64_intdigest(k) - (1 << 63), v, bits, legal) for k in deletions(v))
+        for v in variants(word):
+            out.update((digest(k), v, bits, legal) for k in deletions(v))
 
     for i, w in enumerate(tokens):
         # A text of more words than names have makes pairs of neighbours only.
         for j in range(i + 1, len(tokens) if len(tokens) <= 12 else min(i + 2, len(tokens))):
             # Two words of a name in any order: the way for words that are common.
             both = " ".join(sorted((w, tokens[j])))
-            out.add((xxhash.xxh64_intdigest(both) - (1 << 63), both, 0, legal))
-        if w not in common and len(w) >= 3:
+            out.add((digest(both), both, 0, legal))
+        if w not in common.words and len(w) >= 3:
             add(w, [*tokens[:i], *tokens[i + 1 :]])
+        if i == 0 or not listed:
+            split = {c for x in (*tokens[:i], *tokens[i + 1 :]) for c in beginnings(x)}
+            # Names of one word meet all names of that first word, others only those of one word here.
+            if i == 0:
+                split |= {"1>", "<1"} if len(tokens) == 1 and listed else {"1>"} if listed or len(tokens) == 1 else {"<1"}
+            # Of letters alike no more is asked: the block holds one word up to an edit.
+            out.update((digest(f"{k}|{c}"), None, 0, None) for v in variants(w) for k in deletions(v) if k in common.leading for c in split)
         if i + 1 < len(tokens):
             add(w + tokens[i + 1], [*tokens[:i], *tokens[i + 2 :]])
     return out
 
 
-def name_keys(df: DataFrame, key: str, name: str, common: frozenset[str]) -> DataFrame:
+def name_keys(df: DataFrame, key: str, name: str, common: Common, listed: bool = False) -> DataFrame:
     """``key, block, word, initials, legal`` rows of each name; null names have none."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *h) for k, n in zip(b["k"], b["n"], strict=True) for h in keys_of(n, common)]
+            rows = [(k, *h) for k, n in zip(b["k"], b["n"], strict=True) for h in keys_of(n, common, listed)]
             yield pd.DataFrame(rows, columns=["k", "block", "word", "initials", "legal"])
 
     return df.where(F.col(name).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n")).mapInPandas(run, f"k {kind}, block bigint, word string, initials int, legal string").withColumnRenamed("k", key)

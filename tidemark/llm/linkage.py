@@ -101,7 +101,7 @@ def link(left: DataFrame, right: DataFrame, bridge: DataFrame, *, least: float =
 
     common = common_words(names, "g", "v")
     mine = [name_keys(party, "party_id", "name", common), *(code_keys(party, "party_id", c, "code") for c in ("t", "s", "f")), code_keys(party, "party_id", "c", "cik")]
-    theirs = [name_keys(names, "g", "v", common), *(code_keys(x, "g", "v", "code") for x in (tickers, firms)), code_keys(numbers, "g", "v", "cik")]
+    theirs = [name_keys(names, "g", "v", common, True), *(code_keys(x, "g", "v", "code") for x in (tickers, firms)), code_keys(numbers, "g", "v", "cik")]
     union = lambda dfs: reduce(DataFrame.unionAll, dfs)
     pairs = candidates(union(mine), union(theirs), "party_id", "g")
     full = materialise(pairs.join(party.withColumnRenamed("name", "typed"), "party_id"))

@@ -81,7 +81,7 @@ def resolve(records: DataFrame, listed: DataFrame, *, most_rounds: int = 10) ->
     done: DataFrame | None = None
     for turn in range(most_rounds):
         marked = forms.withColumn("f", F.xxhash64("id", "form"))
-        keys = name_keys(marked, "f", "form", common).unionAll(code_keys(marked.select("f", F.explode("ts").alias("v")), "f", "v", "t"))
+        keys = name_keys(marked, "f", "form", common, True).unionAll(code_keys(marked.select("f", F.explode("ts").alias("v")), "f", "v", "t"))
         if turn == 0:
             keys = keys.unionAll(code_keys(marked, "f", "id", "c"))
         alone = records if done is None else records.join(done.select("rec"), "rec", "left_anti")
