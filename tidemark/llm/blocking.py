@@ -1,119 +1,109 @@
-"""Block keys of names: names one edit apart in a word that says something share a key."""
+"""Candidate pairs of names: the first word of one has a like word in the other, and so has some further word.
+
+Whatever ``stands_for`` accepts is a candidate: it asks for the listed name's first word
+among the typed ones and for a listed word behind every typed one. Words are compared once
+for all names they occur in - up to an edit by hashes of the word with a letter left out -
+and names then meet by equal first words, split by letters of a further word. Every name
+blocks in the same way, whatever the size of the tables; a busy block is a skewed partition
+of a sort-merge join, which Spark splits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.names import _SHORT, LOOKS, NICKNAMES, deletions, parse
+from tidemark.llm.names import _SHORT, NICKNAMES, likeness, parse, seen_as
+
+_P = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class Common(NamedTuple):
-    words: frozenset[str]
-    leading: frozenset[str]
+def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(place of the word, key)``: a hash of each word and, from four letters on, of the word without each letter.
 
+    Words within one edit or swap share a key. The hashes are sums of powers, so a word of
+    ``n`` letters costs ``n`` steps however long it is.
+    """
+    words = [w or "\0" for w in words]
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = np.array([len(w) for w in words])
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    start = np.concatenate(([0], size.cumsum()[:-1]))
+    power = np.concatenate((np.ones(1, np.uint64), np.full(size.max() - 1, _P))).cumprod(dtype=np.uint64)
+    s = np.concatenate((np.zeros(1, np.uint64), ((code + np.uint64(1)) * power[np.arange(len(code)) - start[owner]]).cumsum(dtype=np.uint64)))
+    first, last = s[start], s[start + size]
+    less = (s[:-1] - first[owner]) + (last[owner] - s[1:]) * _BACK
+    long = (size >= 4)[owner]
+    value = np.concatenate((last - first, less[long]))
+    value ^= np.concatenate((size, (size - 1)[owner][long])).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.concatenate((np.arange(len(words)), owner[long])), value.view(np.int64)
 
-def common_words(names: DataFrame, entity: str, name: str, most: int = 12) -> Common:
-    """Words in names of more than ``most`` entities: trades and their short forms, first names; and what the first words among them give with a letter left out.
 
-    Alone they make no blocks but as first words, which tell who it is: those blocks are
-    split by the letters that another word of the name may begin with. They are few: at most
-    a ``most``-th of the words of all names, of which nearly all tell one family of names.
+def beginnings(word: str) -> set[str]:
+    """Letters of which words that stand for one another share one: the first three, as up to two edits may fall on the start, and the first of its nicknames and of what it is one of."""
+    return {c for v in (word, seen_as(word)) for c in v[:3]} | {n[0] for n in (*NICKNAMES.get(word, "").split(), *_SHORT.get(word, ()))}
+
+
+def name_words(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``key, word, head, letters`` of each name; null names and those without a word have none.
+
+    As ``head`` stand the first word and the first two written together, with the
+    beginnings of all other words (and "" for names of which no other word is there); the
+    other rows are all its words, with the beginnings of the longest other one.
     """
-    distinct = names.select(F.col(entity).cast("string").alias("e"), F.col(name).alias("n")).where("n is not null").distinct()
+    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(e, w, w == t[0]) for e, n in zip(b["e"], b["n"], strict=True) for t in [parse(n).tokens] for w in set(t)], columns=["e", "w", "first"])
+            rows = []
+            for k, n in zip(b["k"], b["n"], strict=True):
+                t = parse(n).tokens
+                for i in range(min(2, len(t))):
+                    rows.append((k, "".join(t[: i + 1]), True, sorted({""}.union(*map(beginnings, t[i + 1 :])))))
+                long = sorted(range(len(t)), key=lambda i: -len(t[i]))[:2]
+                rows += [(k, w, False, sorted(beginnings(t[long[long[0] == i]])) if len(t) > 1 else [""]) for i, w in enumerate(t)]
+            yield pd.DataFrame(rows, columns=["k", "word", "head", "letters"])
 
-    words = distinct.mapInPandas(run, "e string, w string, first boolean").groupBy("e", "w").agg(F.max("first").alias("first"))
-    found = words.groupBy("w").agg(F.count("*").alias("n"), F.max("first").alias("first")).where(F.col("n") > most).select("w", "first").collect()
-    return Common(frozenset(w for w, _ in found), frozenset(k for w, first in found if first for v in variants(w) for k in deletions(v)))
+    got = df.where(F.col(name).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n"))
+    return got.mapInPandas(run, f"k {kind}, word string, head boolean, letters array<string>").withColumnRenamed("k", key)
 
 
-def variants(word: str) -> set[str]:
-    """The word, and with the letters that its signs look like."""
-    return {word, word.translate(LOOKS).replace("rn", "m").replace("vv", "w")}
-
-
-def beginnings(word: str) -> set[str]:
-    """Letters of which words that stand for one another share one: the first three, as up to two edits may fall on the start, and the first of its nicknames and of what it is one of."""
-    return {c for v in variants(word) for c in v[:3]} | {n[0] for n in (*NICKNAMES.get(word, "").split(), *_SHORT.get(word, ()))}
-
-
-def keys_of(name: str | None, common: Common, listed: bool = False) -> set[tuple[int, str, int, str | None]]:
-    """``(block, word, initials, legal)`` of one name: a block for each telling word and each
-    two neighbours written together, with every letter of it left out once, and for every
-    two words; the initials of the other words as bits, and the legal form.
-
-    A common first word of a ``listed`` name meets any word of the others, split by the
-    beginnings of their other words; a name of one word meets it without them."""
-    tokens, legal, _ = parse(name)
-    out = set()
-    digest = lambda k: xxhash.xxh64_intdigest(k) - (1 << 63)
-
-    def add(word: str, rest: list[str]) -> None:
-        bits = 0
-        for w in rest:
-            bits |= 1 << (ord(w[0]) % 31)
-        for v in variants(word):
-            out.update((digest(k), v, bits, legal) for k in deletions(v))
-
-    for i, w in enumerate(tokens):
-        # A text of more words than names have makes pairs of neighbours only.
-        for j in range(i + 1, len(tokens) if len(tokens) <= 12 else min(i + 2, len(tokens))):
-            # Two words of a name in any order: the way for words that are common.
-            both = " ".join(sorted((w, tokens[j])))
-            out.add((digest(both), both, 0, legal))
-        if w not in common.words and len(w) >= 3:
-            add(w, [*tokens[:i], *tokens[i + 1 :]])
-        if i == 0 or not listed:
-            split = {c for x in (*tokens[:i], *tokens[i + 1 :]) for c in beginnings(x)}
-            # Names of one word meet all names of that first word, others only those of one word here.
-            if i == 0:
-                split |= {"1>", "<1"} if len(tokens) == 1 and listed else {"1>"} if listed or len(tokens) == 1 else {"<1"}
-            # Of letters alike no more is asked: the block holds one word up to an edit.
-            out.update((digest(f"{k}|{c}"), None, 0, None) for v in variants(w) for k in deletions(v) if k in common.leading for c in split)
-        if i + 1 < len(tokens):
-            add(w + tokens[i + 1], [*tokens[:i], *tokens[i + 2 :]])
-    return out
-
-
-def name_keys(df: DataFrame, key: str, name: str, common: Common, listed: bool = False) -> DataFrame:
-    """``key, block, word, initials, legal`` rows of each name; null names have none."""
-    kind = df.schema[key].dataType.simpleString()
+def _word_keys(words: DataFrame, out: str) -> DataFrame:
+    """``out, key`` rows of distinct words: with a letter left out, as its signs look, and by its nicknames."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *h) for k, n in zip(b["k"], b["n"], strict=True) for h in keys_of(n, common, listed)]
-            yield pd.DataFrame(rows, columns=["k", "block", "word", "initials", "legal"])
+            spelled = [(w, x) for w in b["word"] for x in {w, seen_as(w), *("=" + f for f in _SHORT.get(w, ())), *(["=" + w] if w in NICKNAMES else [])}]
+            at, keys = deletion_keys([x for _, x in spelled])
+            yield pd.DataFrame({out: np.array([w for w, _ in spelled], object)[at], "key": keys})
 
-    return df.where(F.col(name).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n")).mapInPandas(run, f"k {kind}, block bigint, word string, initials int, legal string").withColumnRenamed("k", key)
+    return words.select("word").distinct().mapInPandas(run, f"{out} string, key bigint").distinct()
 
 
-def code_keys(df: DataFrame, key: str, code: str, tag: str) -> DataFrame:
-    """Key rows of a code, which has to be the same on both sides; null codes have none."""
-    nothing = F.lit(None).cast("string")
-    return df.where(F.col(code).isNotNull()).select(key, F.xxhash64(F.lit(tag), code).alias("block"), nothing.alias("word"), F.lit(0).alias("initials"), nothing.alias("legal"))
+def like_words(words: DataFrame, heads: DataFrame) -> DataFrame:
+    """``word, first``: the distinct words that can stand for a first word, with it."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [max(likeness(w, f, True), likeness(f, w, True)) >= 0.5 for w, f in zip(b["word"], b["first"], strict=True)]
+            yield b[np.array(ok, bool)] if len(b) else b
 
-def candidates(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct pairs that share a block.
+    near = _word_keys(words, "word").join(_word_keys(heads, "first").hint("merge"), "key").select("word", "first").distinct()
+    return near.mapInPandas(run, "word string, first string")
 
-    Where the words of a block aren't the same, they must be within an edit or a swap, some
-    other word of both names must begin alike, and the legal forms agree, as far as both
-    names have them: of words that look alike by chance, more with every name there is, few
-    agree in these too.
-    """
-    r = right.select(b, *(F.col(c).alias(f"_{c}") for c in ("block", "word", "initials", "legal"))).distinct()
-    same = F.col("word").isNull() | (F.col("word") == F.col("_word"))
-    alike = F.col("initials").bitwiseAND(F.col("_initials")) != 0
-    bare = (F.col("initials") == 0) | (F.col("_initials") == 0)
-    legal = F.coalesce(F.col("legal") == F.col("_legal"), F.lit(True))
-    typed = (alike | bare) & legal & (F.levenshtein("word", "_word", 2) >= 0)
-    return left.join(r, (F.col("block") == F.col("_block")) & (same | typed)).select(a, b).distinct()
+
+def candidates(typed: DataFrame, listed: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct ``a, b`` whose names (both as ``name_words`` rows) may stand for each other, ``typed`` for ``listed``."""
+    words, heads = typed.where("not head"), listed.where("head")
+    alike = like_words(words, heads)
+    left = words.join(alike.hint("merge"), "word").select(a, "first", F.explode("letters").alias("c"))
+    right = heads.select(b, F.col("word").alias("first"), F.explode("letters").alias("c"))
+    return left.distinct().join(right.distinct().hint("merge"), ["first", "c"]).select(a, b).distinct()

@@ -24,8 +24,6 @@ NICKNAMES = {
 }
 #: The code a name carries in brackets, as in ``Stukium Networks LLC (QRZK)``.
 BRACKETED = r"\(([A-Z][A-Z0-9./-]{1,9})\)"
-#: Words longer than this are compared letter for letter.
-LONGEST = 48
 _SHORT = {n: frozenset(k for k, v in NICKNAMES.items() if n in v.split()) for ns in NICKNAMES.values() for n in ns.split()}
 
 
@@ -59,37 +57,81 @@ def parse(text: str | None) -> Name:
 
 @lru_cache(maxsize=1 << 18)
 def edits(a: str, b: str, most: int = 2) -> int:
-    """Damerau-Levenshtein distance (adjacent swaps count one), or ``most + 1`` where it is more."""
+    """Damerau-Levenshtein distance (adjacent swaps count one), or ``most + 1`` where it is more.
+
+    Only the diagonals within ``most`` are worked on, so long words cost their length.
+    """
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            row.append(v)
+    n, m, beyond, width = len(a), len(b), most + 1, 2 * most + 1
+    if abs(n - m) > most:
+        return beyond
+    # Cell k of row i is column i + k - most.
+    before: list[int] = []
+    last = [k - most if most <= k <= most + m else beyond for k in range(width)]
+    for i in range(1, n + 1):
+        row = [beyond] * width
+        for k in range(width):
+            j = i + k - most
+            if j == 0:
+                row[k] = min(i, beyond)
+            elif 0 < j <= m:
+                v = last[k] + (a[i - 1] != b[j - 1])
+                if k + 1 < width:
+                    v = min(v, last[k + 1] + 1)
+                if k:
+                    v = min(v, row[k - 1] + 1)
+                if before and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    v = min(v, before[k] + 1)
+                row[k] = min(v, beyond)
         if min(row) > most:
-            return most + 1
+            return beyond
         before, last = last, row
-    return min(last[-1], most + 1)
+    return last[m - n + most]
 
 
 LOOKS = str.maketrans("01358", "olesb")
 
 
+def seen_as(word: str) -> str:
+    """The word with the letters that its signs look like."""
+    return word.translate(LOOKS).replace("rn", "m").replace("vv", "w")
+
+
 def _abbreviates(short: str, long: str) -> bool:
     """Whether ``short`` is ``long`` cut or with letters left out: same first letter, rest in order, plural s free."""
     if not 2 <= len(short) < len(long) or short[0] != long[0]:
         return False
-    body = short[:-1] if short.endswith("s") and not long.startswith(short) else short
-    for s in {short, body}:
-        it = iter(long)
-        if len(s) >= 2 and all(c in it for c in s):
+    body = short[:-1] if len(short) > 2 and short.endswith("s") and not long.startswith(short) else short
+    it = iter(long)
+    return all(c in it for c in body)
+
+
+def _abbreviates_typed(short: str, long: str) -> bool:
+    """Whether ``short`` abbreviates ``long`` once a letter but the first is left out or swapped with the next.
+
+    One pass from either side: where each beginning of the short word ends in the long one,
+    and where each end of it starts, as the letters are found in order.
+    """
+    if not short or not long or short[0] != long[0]:
+        return False
+    for s in {short, short[:-1] if short.endswith("s") else short}:
+        n, none = len(s), len(long) + 1
+        ends, starts = [0] * (n + 1), [len(long)] * (n + 1)
+        for i in range(n):
+            at = long.find(s[i], ends[i]) if ends[i] < none else -1
+            ends[i + 1] = at + 1 if at >= 0 else none
+        for i in range(n - 1, -1, -1):
+            starts[i] = long.rfind(s[i], 0, starts[i + 1]) if starts[i + 1] > 0 else -1
+            if starts[i] < 0:
+                starts[: i + 1] = [-1] * (i + 1)
+                break
+        if 3 < len(short) <= len(long) and any(ends[i] <= starts[i + 1] for i in range(1, n)):
             return True
+        if len(short) < len(long):
+            for i in range(1, n - 1):
+                if ends[i] < none and (x := long.find(s[i + 1], ends[i])) >= 0 and (y := long.find(s[i], x + 1)) >= 0 and y + 1 <= starts[i + 2]:
+                    return True
     return False
 
 
@@ -98,17 +140,14 @@ def likeness(a: str, b: str, proper: bool) -> float:
     """How well word ``a`` stands for word ``b`` (0: not at all). Only other words than proper ones are abbreviated."""
     if a == b:
         return 1.0
-    if max(len(a), len(b)) > LONGEST:
-        return 0.0
     if len(a) == 1:
         return 0.35 if b.startswith(a) else 0.0
     if b in _SHORT.get(a, ()) or a in _SHORT.get(b, ()):
         return 0.9
-    x = a.translate(LOOKS).replace("rn", "m").replace("vv", "w")
-    y = b.translate(LOOKS).replace("rn", "m").replace("vv", "w")
+    x, y = seen_as(a), seen_as(b)
     if x == y:
         return 0.95
-    if not proper and (_abbreviates(a, b) or (len(a) > 3 and any(_abbreviates(a[:i] + a[i + 1 :], b) for i in range(1, len(a)))) or any(_abbreviates(a[:i] + a[i + 1] + a[i] + a[i + 2 :], b) for i in range(1, len(a) - 1))):
+    if not proper and (_abbreviates(a, b) or _abbreviates_typed(a, b)):
         return 0.85
     n = min(len(a), len(b))
     if n >= 4:
@@ -130,9 +169,8 @@ def stands_for(name: Name, listed: Name, strict: bool = True) -> tuple[float, bo
     side may be typed too: its words may be short forms and its legal form may be missing.
     """
     left, right = name.tokens, listed.tokens
-    if len(left) > 2 * len(right) + 2:
-        return 0.0, True
-    if not left or not right:
+    # Every word takes a listed one of its own.
+    if not left or not right or len(left) > len(right):
         return 0.0, True
     person = listed.person and listed.legal is None
     last = len(right) - 1
@@ -176,7 +214,3 @@ def stands_for(name: Name, listed: Name, strict: bool = True) -> tuple[float, bo
         return 0.0, True
     return score, not whole
 
-
-def deletions(word: str) -> set[str]:
-    """The word and all it gives with one letter left out: words one edit apart share one of these."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))} if 4 <= len(word) <= LONGEST else {word}

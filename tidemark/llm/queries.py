@@ -51,9 +51,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     listed = lookup.select(K.cik10("cik").alias("id"), "name", K.symbol("ticker").alias("t"))
     means = resolve.resolve(records, listed)
     same = [records[c].eqNullSafe(means[c]) for c in ("name", "t", "c")]
-    found = records.join(means, same).select("name_source", "record_id", records["name"], "id")
+    found = records.join(means.hint("merge"), same).select("name_source", "record_id", records["name"], "id")
     letters = listed.select("id", F.col("name")).distinct()
-    return found.join(letters, ["id", "name"], "left_anti").select("name_source", "record_id", F.col("id").alias("cik")).distinct()
+    return found.join(letters.hint("merge"), ["id", "name"], "left_anti").select("name_source", "record_id", F.col("id").alias("cik")).distinct()
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

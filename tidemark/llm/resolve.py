@@ -1,21 +1,22 @@
 """Spellings of names resolved to a list of registered names by merging and matching again.
 
-Every listed name starts as a profile. Spellings that share a block with a form of a profile
-are compared with it; one that fits a single profile best is merged into it. A profile takes
-over the words of what it merged - typing errors, short forms, initials - as further forms
-of its name, and the codes that came with them; the new forms enter blocking again, against
-the spellings still alone, until a round merges nothing.
+Every listed name starts as a profile. Spellings that may stand for a form of a profile
+(see ``blocking``) are compared with it; one that fits a single profile best is merged into
+it. A profile takes over the words of what it merged - typing errors, short forms, initials
+- as further forms of its name, and the codes that came with them; the new forms enter
+blocking again, against the spellings still alone, until a round merges nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocking import candidates, code_keys, common_words, name_keys
+from tidemark.llm.blocking import candidates, name_words
 from tidemark.llm.names import Name, likeness, parse, stands_for
 from tidemark.session import materialise
 
@@ -25,91 +26,103 @@ SURE = 0.66
 LEARNED = 0.97
 
 
-def with_word(listed: Name, word: str, vouched: bool) -> str | None:
-    """The listed name with ``word`` in the place of the word it stands for; null where it brings nothing new.
+def richer(listed: Name, typed: Name, vouched: bool, clear: bool) -> set[str]:
+    """Forms that a profile gains by a merged spelling: its words one by one and all together in the place of the listed ones.
 
     Another spelling of the first word, which names the company, is taken over only from a
-    spelling that a code vouches for: errors upon errors end at other companies.
+    spelling that a code vouches for: errors upon errors end at other companies. Initials
+    and other words of one or two letters are taken over only from a spelling that fits no
+    other profile (``clear``): they say too little of whom they mean.
     """
-    if len(word) < 3 or word in listed.tokens:
-        return None
-    best = max(((likeness(word, v, i < len(listed.tokens) - 1), i) for i, v in enumerate(listed.tokens)), default=(0, 0))
-    if best[0] < 0.5 or (best[1] == 0 and not vouched):
-        return None
-    tokens = list(listed.tokens)
-    tokens[best[1]] = word
-    return " ".join([*tokens, listed.legal or ""]).strip()
+    last = len(listed.tokens) - 1
+    tokens, out = list(listed.tokens), set()
+    for w in typed.tokens:
+        if w in listed.tokens or (len(w) < 3 and not clear):
+            continue
+        best, i = max(((likeness(w, v, i < last), i) for i, v in enumerate(listed.tokens)), default=(0.0, 0))
+        if best < (0.5 if len(w) >= 3 else 0.3) or (i == 0 and (not vouched or len(w) < 3)):
+            continue
+        tokens[i] = w
+        out.add((*listed.tokens[:i], w, *listed.tokens[i + 1 :]))
+    if len(out) > 1:
+        out.add(tuple(tokens))
+    return {" ".join([*t, listed.legal or ""]).strip() for t in out}
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    """``rec, id, score`` of candidate pairs (rec, name, t, id, form, ts): 0 where a spelling can't be the form."""
+    """``nid, id, score, partial`` of candidate pairs (nid, name, id, form, learned), the best form of each profile; those that can't be are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for name, t, c, key, form, learned, ts in zip(b["name"], b["t"], b["c"], b["id"], b["form"], b["learned"], b["ts"], strict=True):
-                score, partial = stands_for(parse(name), parse(form))
-                if learned:
-                    score *= LEARNED
-                codes = [] if ts is None else list(ts)
-                same = (c is not None and c == key) or (t is not None and t in codes)
-                other = (t is not None and len(codes) and t not in codes) or (c is not None and c != key)
-                # A doubtful spelling of which the codes say something else is somebody else's.
-                if score < SURE and (other or (partial and score < 0.5)) and not same:
-                    score = 0.0
-                out.append(score + 0.2 * same if score > 0 else 0.0)
-            yield pd.DataFrame({"rec": b["rec"], "id": b["id"], "score": out})
-
-    return pairs.mapInPandas(run, "rec bigint, id string, score double").where("score > 0")
-
-
-def resolve(records: DataFrame, listed: DataFrame, *, most_rounds: int = 10) -> DataFrame:
+            got = [stands_for(parse(n), parse(f)) for n, f in zip(b["name"], b["form"], strict=True)]
+            yield b[["nid", "id", "learned"]].assign(score=[s for s, _ in got], partial=[p for _, p in got])
+
+    each = pairs.select("nid", "name", "id", "form", "learned").mapInPandas(run, "nid bigint, id string, learned boolean, score double, partial boolean").where("score > 0")
+    score = F.when(F.col("learned"), F.col("score") * LEARNED).otherwise(F.col("score"))
+    return each.select("nid", "id", score.alias("score"), "partial")
+
+
+def _best_form(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("nid", "id").agg(F.max(F.struct("score", (~F.col("partial")).alias("whole"))).alias("b")).select("nid", "id", "b.*")
+
+
+def _winners(scores: DataFrame, key: str) -> DataFrame:
+    """``key, id`` of the best score of each key, if it is one id's only."""
+    level = scores.groupBy(key, F.round("score", 9).alias("score")).agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    top = level.groupBy(key).agg(F.max_by(F.struct("id", "other"), "score").alias("w"))
+    return top.where("w.id = w.other").select(key, F.col("w.id").alias("id"))
+
+
+def resolve(records: DataFrame, listed: DataFrame) -> DataFrame:
     """``name, t, c, id``: each distinct (name, ticker, number) of ``records`` and whom it means.
 
     ``records`` has name, t (code) and c (number), ``listed`` id, name and t; any of the codes
     may be null. A null or blank name means nobody and neither does one that fits two
     profiles equally well; ties of score within a profile are one. Repeated rows are one.
-    Rounds end when nothing merges; ``most_rounds`` only guards against a broken one.
+    Rounds end when nothing merges: each one but the last leaves fewer spellings alone.
     """
-    records = materialise(records.where("name is not null and trim(name) <> ''").select("name", "t", "c").distinct().withColumn("rec", F.monotonically_increasing_id()))
+    told = records.where("name is not null and trim(name) <> ''").select("name", "t", "c").distinct()
+    names = materialise(told.select("name").distinct().withColumn("nid", F.monotonically_increasing_id()))
+    records = materialise(told.join(names.hint("merge"), "name").select("nid", "t", "c").withColumn("rec", F.monotonically_increasing_id()))
+    words = materialise(name_words(names, "nid", "name"))
     listed = listed.where("id is not null and name is not null").distinct()
-    codes = listed.groupBy("id").agg(F.collect_set("t").alias("ts"))
-    originals = materialise(listed.select("id", F.col("name").alias("form")).distinct().join(codes, "id"))
+    originals = materialise(listed.select("id", F.col("name").alias("form")).distinct())
     forms = originals.withColumn("learned", F.lit(False))
-    common = common_words(originals, "id", "form")
-    known = originals.select(F.xxhash64("id", "form").alias("h"))
-    done: DataFrame | None = None
-    for turn in range(most_rounds):
-        marked = forms.withColumn("f", F.xxhash64("id", "form"))
-        keys = name_keys(marked, "f", "form", common, True).unionAll(code_keys(marked.select("f", F.explode("ts").alias("v")), "f", "v", "t"))
-        if turn == 0:
-            keys = keys.unionAll(code_keys(marked, "f", "id", "c"))
-        alone = records if done is None else records.join(done.select("rec"), "rec", "left_anti")
-        mine = name_keys(alone, "rec", "name", common).unionAll(code_keys(alone, "rec", "c", "c")).unionAll(code_keys(alone, "rec", "t", "t"))
-        near = candidates(mine, keys, "rec", "f")
-        pairs = near.join(records, "rec").join(marked, "f")
-        best = _scored(pairs).groupBy("rec", "id").agg(F.max("score").alias("score"))
-        # The best profile, if no other one is as good.
-        top = best.groupBy("rec").agg(F.max("score").alias("top"))
-        won = best.join(top, "rec").where("score >= top - 1e-9").groupBy("rec").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
-        merged = materialise(won.select("rec", "id").withColumn("turn", F.lit(turn)))
+    codes = materialise(listed.select("id", "t").where("t is not null").distinct())
+    known = originals
+    alone, scores, done = records, None, None
+    for turn in count():
+        forms = materialise(forms.withColumn("f", F.monotonically_increasing_id()))
+        near = candidates(words, name_words(forms, "f", "form"), "nid", "f")
+        found = _scored(near.join(names.hint("merge"), "nid").join(forms.hint("merge"), "f"))
+        scores = materialise(_best_form(found if scores is None else found.unionAll(scores.select("nid", "id", "score", (~F.col("whole")).alias("partial")))))
+        # Codes of a spelling speak for a profile that has them and against one that has others.
+        has = codes.select("id").distinct().withColumn("coded", F.lit(True))
+        fits = alone.join(scores.hint("merge"), "nid").join(codes.withColumn("hit", F.lit(True)).hint("merge"), ["id", "t"], "left").join(has.hint("merge"), "id", "left")
+        same = F.coalesce(F.col("c") == F.col("id"), F.lit(False)) | F.col("hit").isNotNull()
+        other = F.coalesce(F.col("c") != F.col("id"), F.lit(False)) | (F.col("t").isNotNull() & F.col("coded").isNotNull() & F.col("hit").isNull())
+        # A doubtful spelling of which the codes say something else is somebody else's.
+        doubtful = (F.col("score") < SURE) & (other | (~F.col("whole") & (F.col("score") < 0.5))) & ~same
+        fits = fits.where(~doubtful).select("rec", "nid", "t", "id", same.alias("same"), (F.col("score") + F.when(same, 0.2).otherwise(0.0)).alias("score"))
+        merged = materialise(_winners(fits, "rec").join(fits.hint("merge"), ["rec", "id"]).select("rec", "nid", "t", "id", "same"))
         done = merged if done is None else done.unionAll(merged)
         if merged.isEmpty():
             break
-        # What the merged spellings add to their profiles comes back as new forms.
-        spelled = merged.join(records, "rec").join(originals, "id")
+        alone = materialise(alone.join(merged.select("rec").hint("merge"), "rec", "left_anti"))
+        words = materialise(words.join(alone.select("nid").distinct().hint("merge"), "nid", "left_semi"))
+        # What the merged spellings add to their profiles comes back as new forms and codes.
+        clear = _winners(scores, "nid").withColumn("clear", F.lit(True))
+        gained = merged.groupBy("nid", "id").agg(F.bool_or("same").alias("vouched")).join(clear.hint("merge"), ["nid", "id"], "left")
+        spelled = gained.join(names.hint("merge"), "nid").join(originals.hint("merge"), "id")
 
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = []
-                for k, form, name, t, c, ts in zip(b["id"], b["form"], b["name"], b["t"], b["c"], b["ts"], strict=True):
-                    vouched = c == k or (t is not None and ts is not None and t in ts)
-                    rows += [(k, f) for w in parse(name).tokens if (f := with_word(parse(form), w, vouched))]
+                rows = [(k, f) for k, form, name, v, c in zip(b["id"], b["form"], b["name"], b["vouched"], b["clear"], strict=True) for f in richer(parse(form), parse(name), bool(v), c is True or c == 1)]
                 yield pd.DataFrame(rows, columns=["id", "form"])
 
-        gained = spelled.where("t is not null").groupBy("id").agg(F.collect_set("t").alias("more"))
-        new = spelled.select("id", "form", "name", "t", "c", "ts").mapInPandas(learn, "id string, form string").distinct()
-        new = new.join(known, F.xxhash64("id", "form") == known["h"], "left_anti").join(codes, "id").join(gained, "id", "left")
-        forms = materialise(new.select("id", "form", F.array_union("ts", F.coalesce("more", F.array())).alias("ts"), F.lit(True).alias("learned")))
-        known = known.unionAll(forms.select(F.xxhash64("id", "form").alias("h")))
-    return records.join(done.select("rec", "id"), "rec").select("name", "t", "c", "id")
+        new = spelled.select("id", "form", "name", "vouched", F.coalesce("clear", F.lit(False)).alias("clear")).mapInPandas(learn, "id string, form string").distinct()
+        new = materialise(new.join(known.hint("merge"), ["id", "form"], "left_anti"))
+        known = known.unionAll(new)
+        codes = materialise(codes.unionAll(merged.select("id", "t").where("t is not null")).distinct())
+        forms = new.withColumn("learned", F.lit(True))
+    return records.join(done.select("rec", "id").hint("merge"), "rec").join(names.hint("merge"), "nid").select("name", "t", "c", "id")
