@@ -46,6 +46,16 @@ def test_no_instant(text):
     assert parse(text) is None
 
 
+@pytest.mark.parametrize("text, zone, want", [
+    ("9999-12-31 23:59:59", NY, 253402300799 + 5 * 3600),
+    ("0001-01-01 00:00", "Asia/Tokyo", -62135596800 - (9 * 3600 + 18 * 60 + 59)),
+    ("0001-01-01 00:00", "UTC", -62135596800),
+    ("9999-07-01 00:00:00", NY, 253386403200 + 4 * 3600),
+])
+def test_ends_of_the_calendar(text, zone, want):
+    assert parse(text, zone) == (want * 1_000_000,) * 2
+
+
 def test_overlap_has_two_instants():
     lo, hi = parse("2012-11-04 01:36:00")
     assert hi - lo == 3_600_000_000

@@ -19,6 +19,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import bounded, spread
+
+#: Feeds whose orders are broadcast at most; of more they are joined.
+MOST_FEEDS = 100_000
 # Month names and the zone names that feeds print.
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 FIXED_ZONES = {
@@ -62,6 +66,8 @@ def _offsets(zone: str, y: int, m: int, d: int, h: int, mi: int) -> tuple[int, .
         tz = ZoneInfo(zone)
     except (KeyError, ValueError, OSError):
         return ()
+    # At the ends of the calendar offsets are taken from the same day of another 400-year cycle.
+    y += 400 if y < 400 else -400 if y > 9600 else 0
     out = []
     for fold in (0, 1):
         local = datetime(y, m, d, h, mi, tzinfo=tz, fold=fold)
@@ -129,12 +135,12 @@ def parse_stamps(text: pd.Series, zone: pd.Series, day_first: pd.Series) -> pd.D
     return pd.DataFrame({"lo": pd.array(lo, dtype="Int64"), "hi": pd.array(hi, dtype="Int64")})
 
 
-def feed_orders(df: DataFrame, feed: str, stamp: str, out: str) -> DataFrame:
-    """Per feed, whether its numeric dates put the day first; null where no date tells."""
+def day_first(stamp: Column | str) -> Column:
+    """Aggregate: whether numeric dates put the day first, by most of those that tell; null where none does or as many say either."""
     first = F.regexp_extract(stamp, r"^\s*(\d{1,2})[-/.]\d{1,2}[-/.]\d{2,4}\D", 1).try_cast("int")
     second = F.regexp_extract(stamp, r"^\s*\d{1,2}[-/.](\d{1,2})[-/.]\d{2,4}\D", 1).try_cast("int")
     day, month = F.count_if(first > 12), F.count_if(second > 12)
-    return df.groupBy(feed).agg(F.when(day != month, day > month).alias(out))
+    return F.when(day != month, day > month)
 
 
 def normalise_stamps(df: DataFrame, stamps: dict[str, tuple[str, Column]], feed: str = "feed", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -143,12 +149,13 @@ def normalise_stamps(df: DataFrame, stamps: dict[str, tuple[str, Column]], feed:
     ``stamps`` maps a name to (text column, zone of texts that name none). Null, blank and
     unreadable texts give null instants; a gap in the wall clock gives null, an overlap two
     different values, otherwise both are equal. Repeated rows stay. The order of day and
-    month is counted per feed over all rows (one pre-aggregated pass, a row per feed).
+    month is counted per feed over all rows (one pre-aggregated pass, a row per feed, which
+    goes to all tasks only if there are few feeds). Rows don't move but to make up for a
+    table of fewer splits than cores.
     """
     rows = df.select(*keep, F.col(feed).alias("_feed"), *(F.col(c).cast("string").alias(f"_t_{n}") for n, (c, _) in stamps.items()), *(z.alias(f"_z_{n}") for n, (_, z) in stamps.items()))
-    for n, (c, _) in stamps.items():
-        orders = feed_orders(df.select(feed, F.col(c).cast("string").alias(c)), feed, c, f"_o_{n}").withColumnRenamed(feed, "_of")
-        rows = rows.join(orders, F.col("_feed").eqNullSafe(F.col("_of")), "left").drop("_of")
+    orders = rows.groupBy(F.col("_feed").alias("_of")).agg(*(day_first(f"_t_{n}").alias(f"_o_{n}") for n in stamps))
+    rows = spread(rows).join(bounded(orders, MOST_FEEDS), F.col("_feed").eqNullSafe(F.col("_of")), "left").drop("_of")
     names = list(stamps)
     kept = [f for f in df.select(*keep).schema.fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}_{e}` bigint" for n in names for e in ("lo", "hi")])

@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """One instant per event whose instant is determined."""
     e = table(spark, d, "event_alignment", "event_id", "feed", "feed_zone", "announcement_dt", "local_announcement_dt")
     stamps = {"feed": ("announcement_dt", F.coalesce("feed_zone", F.lit(NEW_YORK))), "local": ("local_announcement_dt", F.lit(NEW_YORK))}
-    rows = timestamps.normalise_stamps(e.distinct(), stamps, keep=("event_id",))
+    rows = timestamps.normalise_stamps(e, stamps, keep=("event_id",))
     return timestamps.one_instant(rows, "event_id", ("feed", "local"), "announcement_us")
 
 

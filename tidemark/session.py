@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,10 +32,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is set does the session get its own."""
+    """The shared folder of the cluster; only a local session in which none is set gets its own.
+
+    A ``RuntimeError`` where executors on other machines could not read what is written.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     have = spark.sparkContext.getCheckpointDir()
     if have is None:
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
         have = spark.sparkContext.getCheckpointDir()
     return found or have
@@ -46,9 +52,10 @@ _written: list[str] = []
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
-    Unlike a cache this survives the loss of executors, cuts the lineage of iterative
-    plans, and leaves Catalyst exact row counts and sizes to choose joins by. The files are
-    deleted when the driver ends.
+    Unlike a cache this survives the loss of executors and cuts the lineage of iterative
+    plans. Catalyst sees compressed file sizes, many times smaller than the rows in memory:
+    joins of such tables carry a ``merge`` hint or are ``bounded``, so that none is broadcast
+    by its file size. The files are deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
@@ -59,6 +66,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df`` written once and counted: to be broadcast if it has at most ``most`` rows, to be merge-joined beyond."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, the rows of a scan, in as many partitions as the cluster has cores at least, for work that is heavy a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _delete_written() -> None:
     sc = SparkContext._active_spark_context
     if sc is None or sc._jsc is None:
