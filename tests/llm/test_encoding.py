@@ -45,6 +45,18 @@ def test_sound_texts_stay(text):
     assert repair(text) == (False, text, True)
 
 
+@pytest.mark.parametrize("text", ["Âge légal de la retraite", "Âmbito do acordo de fusão", "Ângela Merkel spoke", "L'Âme du vin", "Às vezes, Ásia e Ílhavo", "SÃO PAULO e São João; Ãh"])
+def test_words_that_begin_with_a_lead_letter_are_sound(text):
+    assert repair(text) == (False, text, True)
+
+
+def test_any_number_of_times():
+    bad = "Gemäß § 5"
+    for _ in range(6):
+        bad = sloppy(bad, "cp1252")
+    assert repair(bad) == (True, "Gemäß § 5", True)
+
+
 def test_lost():
     assert repair("complaint�a point") == (True, "complaint�a point", False)
 

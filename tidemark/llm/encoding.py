@@ -255,35 +255,40 @@ def _weight(spans: list[tuple[int, int, str]]) -> float:
     return sum((b - a) * (1.0 if all(c.isalnum() or c.isspace() or c in ".,;:!?()\"-’‘“”–—…§£€¥°«»¿¡‑™©®ªº" for c in new) else 0.5) - 0.2 * sum(c in "ÌÍÎÏÐÒØÙÝÞåæìîïðòøùýþÿ" for c in new) for a, b, new in spans)
 
 
-# A lead character whose partner was dropped: within or after lower case letters it is no capital.
-_LOST = re.compile(r"(?<=[a-zß-ÿ])[ÃÂ](?![A-ZÀ-Ü])|\b[ÃÂ](?=[a-z]{2})|�|â€(?=[\s\w.,;:])")
+# What a decoder writes for bytes it couldn't read.
+_GONE = "\ufffd"
+# A lead character whose partner was dropped. Sound words begin with it too (Âge, Âmbito), so it
+# tells nothing by itself, only what is still lost in a text that is garbled.
+_CUT = re.compile(r"(?<=[a-zß-ÿ])[ÃÂ](?![A-ZÀ-Ü])|\b[ÃÂ](?=[a-z]{2})|â€(?=[\s\w.,;:])")
 
 
 _EAST_ASIAN = re.compile("[぀-ヿ一-鿿ｦ-ﾟ가-힣]")
 
 
-def repair(text: str | None, rounds: int = 4) -> tuple[bool, str | None, bool]:
+def repair(text: str | None) -> tuple[bool, str | None, bool]:
     """``(garbled, restored, whole)`` of one text.
 
     ``restored`` is the text with every garbled span decoded, ``whole`` whether nothing of
-    it stays lost. A null, empty or blank text is not garbled.
+    it stays lost. A null, empty or blank text is not garbled. Passes end when no span is
+    left (or a pass gives a text that was there before, so that they always end).
     """
     if not text or not _FOREIGN.search(text):
         return False, text, True
-    now, found = text, False
-    for _ in range(rounds):
+    now, found, seen = text, False, {text}
+    while True:
         choices = [_spans_one(now, e) for e in ONE_BYTE] + [_spans_latin(now), _spans_double(now)]
         if _EAST_ASIAN.search(now):
             choices += [_spans_two(now, e) for e in TWO_BYTE]
         # The reading that explains most goes first; what it leaves is met in the next round.
         best = max(choices, key=_weight)
-        if not best:
+        if not best or (new := _apply(now, best)) in seen:
             break
-        found, now = True, _apply(now, best)
+        found, now = True, new
+        seen.add(now)
     if spans := _spans_cyrillic(now):
         found, now = True, _apply(now, spans)
-    lost = bool(_LOST.search(now))
-    return found or lost, now, not lost
+    gone = _GONE in now
+    return found or gone, now, not gone and not (found and _CUT.search(now))
 
 
 def repaired(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
