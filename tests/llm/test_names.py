@@ -95,15 +95,55 @@ def test_merged_spellings_bring_in_others(spark):
         assert resolve(spark.createDataFrame(rows, "name string, t string, c string"), listed).count() == found
 
 
-def test_many_of_one_first_word_still_share_blocks():
-    from tidemark.llm.blocking import Common, deletions, keys_of
-
-    blocks = lambda n, c, *a: {k[0] for k in keys_of(n, c, *a)}
-    common = Common(frozenset({"tendiix"}), frozenset(deletions("tendiix")))
-    for typed in ("Bob Tendiix", "R. Tendiix", "Tendiix RE", "Robret Tendix", "Tendiix", "Rob Tnediix"):
-        assert stands_for(parse(typed), parse("TENDIIX ROBERT E"))[0] > 0
-        assert blocks(typed, common) & blocks("TENDIIX ROBERT E", common, True), typed
-    assert blocks("Tendiix Holdco Inc", common) & blocks("Tendiix Inc", common, True)
+def _spelled(rng, name):
+    """A name with a typing error, a word cut, turned, glued or left out."""
+    w = name.split()
+    for _ in range(rng.integers(0, 3)):
+        i = int(rng.integers(len(w)))
+        k = int(rng.integers(max(len(w[i]) - 1, 1)))
+        how = int(rng.integers(7))
+        if how == 0:
+            w[i] = w[i][:k] + w[i][k + 1 :] or w[i]
+        elif how == 1:
+            w[i] = w[i][:k] + "x" + w[i][k:]
+        elif how == 2 and len(w[i]) > 2:
+            w[i] = w[i][:k] + w[i][k : k + 2][::-1] + w[i][k + 2 :]
+        elif how == 3:
+            w[i] = w[i][: max(1, k)]
+        elif how == 4 and len(w) > 1:
+            w = [*w[1:], w[0]]
+        elif how == 5 and len(w) > 1:
+            w = ["".join(w[:2]), *w[2:]]
+        elif len(w) > 1:
+            w.pop(i)
+    return " ".join(w)
+
+
+def test_whatever_may_stand_for_a_name_is_a_candidate(spark):
+    from tidemark.llm.blocking import candidates, name_words
+    from tidemark.llm.linkage import name_score
+
+    rng = np.random.default_rng(3)
+    trades, rest = ("Foods", "Biosciences", "Instruments", "Communications", "Rnetworks"), ("Inc", "LLC", "")
+    listed = [f"{a} {b} {t} {c}".split() for a in ("Karvenolt", "Kar", "Zourvean", "Global") for b in ("", "Taenix", "Gro") for t in trades for c in rest[: 1 + len(a) % 3]]
+    listed = sorted({" ".join(x) for x in listed} | {"TENDIIX ROBERT E", "TENDIIX SUSAN", "William Oxo", "Liam Oxo", "A", "", "q" * 3000 + " Foods", "Global " * 40})
+    typed = sorted({_spelled(rng, n) if n else n for n in listed for _ in range(3)} | {"Bob Tendiix", "R. Tendiix", "Tendiix RE", "Bill Oxo", "Global", "Foods, Global Inc", "q" * 2999 + " Foods"})
+    a = name_words(spark.createDataFrame(list(enumerate(typed)), "a bigint, n string"), "a", "n")
+    b = name_words(spark.createDataFrame(list(enumerate(listed)), "b bigint, n string"), "b", "n")
+    got = {(r.a, r.b) for r in candidates(a, b, "a", "b").collect()}
+    turned = {(r.a, r.b) for r in candidates(b, a, "b", "a").collect()}
+    strict = {(i, j) for i, x in enumerate(typed) for j, y in enumerate(listed) if stands_for(parse(x), parse(y))[0] > 0}
+    assert strict and strict <= got
+    assert {(i, j) for i, x in enumerate(typed) for j, y in enumerate(listed) if name_score(x, y)[0] > 0} <= got | turned
+
+
+def test_deletion_keys_of_long_words():
+    from tidemark.llm.blocking import deletion_keys
+
+    long = "ab" * 20_000
+    at, keys = deletion_keys([long, long[:77] + long[78:], "abc", "abd", "abcd", "abxd", ""])
+    share = lambda i, j: bool(set(keys[at == i]) & set(keys[at == j]))
+    assert share(0, 1) and share(4, 5) and not share(2, 3) and not share(0, 4)
 
 
 def test_resolve_among_many_of_one_surname(spark):

@@ -3,9 +3,11 @@
 Whatever ``stands_for`` accepts is a candidate: it asks for the listed name's first word
 among the typed ones and for a listed word behind every typed one. Words are compared once
 for all names they occur in - up to an edit by hashes of the word with a letter left out -
-and names then meet by equal first words, split by letters of a further word. Every name
-blocks in the same way, whatever the size of the tables; a busy block is a skewed partition
-of a sort-merge join, which Spark splits.
+and names then meet by equal first words and the typed name's longest other word: by its
+first letter, which all that stands for a word keeps but typing errors and nicknames, and
+those are known from the comparison of words. Every name blocks in the same way, whatever
+the size of the tables; a busy block is a skewed partition of a sort-merge join, which
+Spark splits.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.names import _SHORT, NICKNAMES, likeness, parse, seen_as
+from tidemark.session import materialise
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -47,17 +50,13 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.arange(len(words)), owner[long])), value.view(np.int64)
 
 
-def beginnings(word: str) -> set[str]:
-    """Letters of which words that stand for one another share one: the first three, as up to two edits may fall on the start, and the first of its nicknames and of what it is one of."""
-    return {c for v in (word, seen_as(word)) for c in v[:3]} | {n[0] for n in (*NICKNAMES.get(word, "").split(), *_SHORT.get(word, ()))}
-
-
 def name_words(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``key, word, head, letters`` of each name; null names and those without a word have none.
+    """``key, word, second, others`` of each name; null names and those without a word have none.
 
-    As ``head`` stand the first word and the first two written together, with the
-    beginnings of all other words (and "" for names of which no other word is there); the
-    other rows are all its words, with the beginnings of the longest other one.
+    The first word, and the first two written together, come with the keys of all ``others``
+    (first letters, the words, neighbours written together, and "" for names of which no
+    other word is there); the other rows (``others`` null) are all words of the name, each
+    with the longest one beside it.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -66,14 +65,15 @@ def name_words(df: DataFrame, key: str, name: str) -> DataFrame:
             rows = []
             for k, n in zip(b["k"], b["n"], strict=True):
                 t = parse(n).tokens
-                for i in range(min(2, len(t))):
-                    rows.append((k, "".join(t[: i + 1]), True, sorted({""}.union(*map(beginnings, t[i + 1 :])))))
+                for i in range(1, min(2, len(t)) + 1):
+                    words = {*t[i:], *map("".join, zip(t[i:], t[i + 1 :], strict=False))}
+                    rows.append((k, "".join(t[:i]), None, ["", *sorted({w[0] for w in words} | {"=" + w for w in words})]))
                 long = sorted(range(len(t)), key=lambda i: -len(t[i]))[:2]
-                rows += [(k, w, False, sorted(beginnings(t[long[long[0] == i]])) if len(t) > 1 else [""]) for i, w in enumerate(t)]
-            yield pd.DataFrame(rows, columns=["k", "word", "head", "letters"])
+                rows += [(k, w, t[long[long[0] == i]] if len(t) > 1 else None, None) for i, w in enumerate(t)]
+            yield pd.DataFrame(rows, columns=["k", "word", "second", "others"])
 
     got = df.where(F.col(name).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n"))
-    return got.mapInPandas(run, f"k {kind}, word string, head boolean, letters array<string>").withColumnRenamed("k", key)
+    return got.mapInPandas(run, f"k {kind}, word string, second string, others array<string>").withColumnRenamed("k", key)
 
 
 def _word_keys(words: DataFrame, out: str) -> DataFrame:
@@ -88,22 +88,26 @@ def _word_keys(words: DataFrame, out: str) -> DataFrame:
     return words.select("word").distinct().mapInPandas(run, f"{out} string, key bigint").distinct()
 
 
-def like_words(words: DataFrame, heads: DataFrame) -> DataFrame:
-    """``word, first``: the distinct words that can stand for a first word, with it."""
+def like_words(words: DataFrame, listed: DataFrame) -> DataFrame:
+    """``word, like``: the distinct words that can stand for one of the ``listed`` words, whatever its place, with it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [max(likeness(w, f, True), likeness(f, w, True)) >= 0.5 for w, f in zip(b["word"], b["first"], strict=True)]
+            ok = [max(likeness(w, f, True), likeness(f, w, True)) >= 0.5 for w, f in zip(b["word"], b["like"], strict=True)]
             yield b[np.array(ok, bool)] if len(b) else b
 
-    near = _word_keys(words, "word").join(_word_keys(heads, "first").hint("merge"), "key").select("word", "first").distinct()
-    return near.mapInPandas(run, "word string, first string")
+    near = _word_keys(words, "word").join(_word_keys(listed, "like").hint("merge"), "key").select("word", "like").distinct()
+    return near.mapInPandas(run, "word string, like string")
 
 
 def candidates(typed: DataFrame, listed: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct ``a, b`` whose names (both as ``name_words`` rows) may stand for each other, ``typed`` for ``listed``."""
-    words, heads = typed.where("not head"), listed.where("head")
-    alike = like_words(words, heads)
-    left = words.join(alike.hint("merge"), "word").select(a, "first", F.explode("letters").alias("c"))
-    right = heads.select(b, F.col("word").alias("first"), F.explode("letters").alias("c"))
-    return left.distinct().join(right.distinct().hint("merge"), ["first", "c"]).select(a, b).distinct()
+    words, heads = typed.where("others is null").drop("others"), listed.where("others is not null")
+    right = heads.select(b, F.col("word").alias("first"), F.explode("others").alias("c")).distinct()
+    known = heads.select("word").unionAll(heads.select(F.explode("others").alias("c")).where("startswith(c, '=')").select(F.expr("substr(c, 2)").alias("word")))
+    alike = materialise(like_words(words, known))
+    first = words.join(alike.withColumnRenamed("like", "first").hint("merge"), "word").select(a, "first", "second").distinct()
+    letter = first.select(a, "first", F.coalesce(F.substring("second", 1, 1), F.lit("")).alias("c"))
+    turned = alike.where("substr(word, 1, 1) <> substr(like, 1, 1)").select(F.col("word").alias("second"), F.concat(F.lit("="), "like").alias("c"))
+    left = letter.unionAll(first.join(turned.hint("merge"), "second").select(a, "first", "c"))
+    return left.join(right.hint("merge"), ["first", "c"]).select(a, b).distinct()

@@ -37,8 +37,8 @@ class Name(NamedTuple):
 def parse(text: str | None) -> Name:
     """Core words in their order, the legal form, and whether the text can be a person's name.
 
-    Tags in slashes or brackets, titles, articles and punctuation go. ``Energy, Trorvuast``
-    keeps its order: matching doesn't depend on it.
+    Tags in slashes or brackets, titles, articles and punctuation go. Of a company's name
+    turned round (``Energy, Trorvuast Inc.``) the word before the comma goes last.
     """
     t = unicodedata.normalize("NFKC", text or "").lower()
     t = re.sub(r"/[^/]*/|\([^)]*\)", " ", t)
@@ -47,11 +47,14 @@ def parse(text: str | None) -> Name:
     t = re.sub(r"\b(?:ltd|limited)\.?\s+partnership\b", "lp", t)
     raw = re.findall(r"[^\W_]+", t)
     legal, tokens = None, []
+    turned = re.match(r"\s*[^\W\d_]+\s*,", t)
     for w in raw:
         if w in LEGAL:
             legal = legal or LEGAL[w]
         elif w not in EMPTY and w not in TITLES:
             tokens.append(w)
+    if turned and legal and len(tokens) > 1 and tokens[0] == raw[0]:
+        tokens = [*tokens[1:], tokens[0]]
     return Name(tuple(tokens), legal, legal is None and 2 <= len(tokens) <= 4)
 
 
@@ -154,7 +157,7 @@ def likeness(a: str, b: str, proper: bool) -> float:
         d = min(edits(a, b), edits(x, y))
         if d == 1:
             return 0.88
-        if d == 2 and n >= 7 and not proper:
+        if d == 2 and n >= 7 and not proper and a[0] == b[0]:
             return 0.55
     return 0.0
 
@@ -174,7 +177,8 @@ def stands_for(name: Name, listed: Name, strict: bool = True) -> tuple[float, bo
         return 0.0, True
     person = listed.person and listed.legal is None
     last = len(right) - 1
-    close = likeness if strict else lambda a, b, p: max(likeness(a, b, p), likeness(b, a, p))
+    # A word is no spelling of an initial, even where the other side is typed too.
+    close = likeness if strict else lambda a, b, p: max(likeness(a, b, p), likeness(b, a, p) if len(b) > 1 else 0.0)
     used: dict[int, float] = {}
     if person and len(right) == 3:
         # "Vakaeor JT" and the like: initials written together.
