@@ -1,7 +1,9 @@
 import random
 from datetime import date, timedelta
 
-from tidemark.operators.spikes import implausible
+import numpy as np
+
+from tidemark.operators.spikes import esd_limit, generalised_esd, implausible, tail_limit
 
 
 def days(n):
@@ -72,9 +74,52 @@ def test_quotes(spark):
         r[3], r[4] = (None, None) if k == 17 else (r[3] if b is None else b, r[4] if a is None else a)
         rows[k] = tuple(r)
     df = spark.createDataFrame(rows, "s string, d date, i bigint, b double, a double, _s string")
-    got = found(df, source="s", day="d", row_id="i", readings=("b", "a"), zero_ok=(True, False), crossed=True, least=1.0)
+    got = found(df, source="s", day="d", row_id="i", readings=("b", "a"), zero_ok=(True, False), crossed=True)
     assert got == {8: {"range"}, 11: {"spike"}, 14: {"range"}}
 
 
 def test_empty(spark):
     assert implausible(spark.createDataFrame([], "s string, d date, i bigint, x double"), **CLOSE).count() == 0
+
+
+# Rosner's (1983) 54 vitamin E readings and the critical values published for them.
+ROSNER = (
+    -0.25, 0.68, 0.94, 1.15, 1.20, 1.26, 1.26, 1.34, 1.38, 1.43, 1.49, 1.49, 1.55, 1.56, 1.58, 1.65, 1.69, 1.70, 1.76, 1.77, 1.81, 1.91, 1.94, 1.96, 1.99, 2.06, 2.09,
+    2.10, 2.14, 2.15, 2.23, 2.24, 2.26, 2.35, 2.37, 2.40, 2.47, 2.54, 2.62, 2.64, 2.90, 2.92, 2.92, 2.93, 3.21, 3.26, 3.30, 3.59, 3.68, 4.30, 4.64, 5.34, 5.42, 6.01,
+)
+LIMITS = (3.158, 3.151, 3.143, 3.136, 3.128, 3.120, 3.111, 3.103, 3.094, 3.085)
+
+
+def test_limits_of_the_generalised_esd_are_the_published_ones():
+    assert all(abs(esd_limit(len(ROSNER), i + 1, 0.05) - x) < 1.5e-3 for i, x in enumerate(LIMITS))
+
+
+def test_generalised_esd_looks_behind_what_masks():
+    # The second deviate is under its limit, the third over it: all three are outliers.
+    r = np.concatenate((np.linspace(-1, 1, 41), [9.0, 4.0, 3.9, np.nan]))
+    group = np.zeros(len(r), np.int64)
+    out, deviate = generalised_esd(group, r, np.array([0.01]), 1e-4)
+    assert list(np.flatnonzero(out)) == [41, 42, 43] and np.isnan(deviate[-1])
+    assert not generalised_esd(group[:3], r[40:43], np.array([0.01]), 1e-4)[0].any()  # too few to judge
+    # A group's own scale counts where its residuals are smaller.
+    assert not generalised_esd(group, r, np.array([5.0]), 1e-4)[0].any()
+
+
+def test_tail_of_all_sources():
+    rng = np.random.default_rng(5)
+    x = rng.exponential(0.1, 100_000)
+    x[:200] = 3.0  # spikes move the tail little
+    steps, n = np.unique((x / 0.005).astype(int), return_counts=True)
+    counts = dict(zip(steps.tolist(), n.tolist(), strict=True))
+    assert abs(tail_limit(counts, 200_000, 1e-5) - 0.1 * np.log(0.5 / 1e-5)) < 0.1
+    assert tail_limit({1: 5}, 10, 1e-5) == -np.inf
+
+
+def test_a_spike_beyond_the_tail_of_all_sources(spark):
+    rows, i = [], 0
+    for s in range(60):
+        for d, x in zip(days(22), series(s, 22, 0.05), strict=True):
+            i += 1
+            rows.append((f"s{s}", d, i, x * (8 if i == 500 else 1.25 if i == 700 else 1)))
+    df = spark.createDataFrame(rows, "s string, d date, i bigint, x double")
+    assert found(df, **CLOSE, alpha=0.05, chance=1e-5) == {500: {"spike"}}

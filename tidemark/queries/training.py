@@ -29,8 +29,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "options_eod_summary", "row_id", "quote_date", "series_id", "bid_1545", "ask_1545")
     u = table(spark, d, "underlying_daily", "row_id", "quote_date", "underlying_symbol", "s_eod")
     u = u.withColumn("underlying_symbol", K.symbol("underlying_symbol"))
-    # A quote of an option moves by ticks and by its gearing: a spike is a factor of 3.2 (1.15 of the logarithm) at least.
-    quotes = spikes.implausible(o, source="series_id", day="quote_date", row_id="row_id", readings=("bid_1545", "ask_1545"), zero_ok=(True, False), crossed=True, alpha=0.05, least=1.15)
+    # A series has some twenty dates: what no quote of the table moves by chance is told by all of them.
+    quotes = spikes.implausible(o, source="series_id", day="quote_date", row_id="row_id", readings=("bid_1545", "ask_1545"), zero_ok=(True, False), crossed=True, alpha=0.05, chance=5e-6)
     closes = spikes.implausible(u, source="underlying_symbol", day="quote_date", row_id="row_id", readings=("s_eod",), zero_ok=(False,))
     named = lambda df, name: df.select(F.lit(name).alias("source_table"), "row_id")
     return named(quotes, "options_eod_summary").unionAll(named(closes, "underlying_daily")).distinct()
