@@ -1,8 +1,9 @@
 """Similarity flooding between a file's header and a canonical schema.
 
-Both are graphs: columns point to the words of their names and to the type of their values.
-Scores of column pairs and word pairs feed each other along these edges until they settle;
-the best consistent one-to-one correspondences are then selected.
+Both are graphs: columns point to the words of their names, to the type of their values and
+to what they are nested in (the part of a name before its last dot; else the schema itself).
+Scores of column, word, type and parent pairs feed each other along these edges until they
+settle; the best consistent one-to-one correspondences are then selected.
 """
 
 from __future__ import annotations
@@ -72,8 +73,30 @@ def _parts(name: str, known: frozenset[str]) -> tuple[str, ...]:
     return tuple(x for w in out for x in (WORDS[w] if w in ("vwap", "oi", "iv", "cp", "vw") else [w]))
 
 
+# Kinds of which values of one may be read as the other.
+KINDRED = ({"integer", "decimal"}, {"integer", "boolean"}, {"text", "boolean"})
+#: Rounds after which scores that still move are an error.
+MOST_ROUNDS = 1000
+
+
+def _points(items: list[tuple], nodes: list) -> np.ndarray:
+    """Edges from columns (rows) to nodes."""
+    return np.array([[float(n in x) for n in nodes] for x in items]).reshape(len(items), len(nodes))
+
+
+def _parent(name: str) -> str:
+    return name.rpartition(".")[0]
+
+
+def _flooded(start: np.ndarray, left: np.ndarray, right: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Scores of node pairs, raised by how well the columns that point to them fit."""
+    fed = left.T @ columns**3 @ right
+    out = start * (1 + 0.3 * fed / max(fed.max(), 1e-9))
+    return out / max(out.max(), 1e-9)
+
+
 @lru_cache(maxsize=1 << 15)
-def correspond(header: tuple[str, ...], types: tuple[str | None, ...], canonical: tuple[tuple[str, str], ...], rounds: int = 12, least: float = 0.25) -> tuple[str | None, ...]:
+def correspond(header: tuple[str, ...], types: tuple[str | None, ...], canonical: tuple[tuple[str, str], ...], least: float = 0.25) -> tuple[str | None, ...]:
     """The canonical column of each header column, or null where none fits. ``canonical`` holds names and types."""
     known = frozenset(w for name, _ in canonical for w in words(name))
     left = [_parts(h, known) for h in header]
@@ -83,33 +106,38 @@ def correspond(header: tuple[str, ...], types: tuple[str | None, ...], canonical
         return tuple(None for _ in header)
     # Edges column -> word, lighter for words that say little.
     heavy = lambda w: 0.25 if w in EMPTY else 0.6 if w in ("date", "price", "code", "type") else 1.0
-    a = np.array([[heavy(w) * (w in p) for w in lw] for p in left])
-    b = np.array([[heavy(w) * (w in p) for w in rw] for p in right])
+    a = _points(left, lw) * np.array([heavy(w) for w in lw])
+    b = _points(right, rw) * np.array([heavy(w) for w in rw])
     word0 = np.array([[word_score(x, y) for y in rw] for x in lw])
-    typed = np.array([[1.0 if t == c else 0.5 if t is None or {t, c} in ({"integer", "decimal"}, {"integer", "boolean"}, {"text", "boolean"}) else 0.0 for _, c in canonical] for t in types])
-    same = np.array([[float(re.sub(r"[\W_]", "", h).lower() == re.sub(r"[\W_]", "", n).lower()) for n, _ in canonical] for h in header])
-    word, cols = word0.copy(), np.zeros_like(same)
-    for _ in range(rounds):
+    lt, rt = sorted({str(t) for t in types}), sorted({t for _, t in canonical})
+    ta, tb = _points([(str(t),) for t in types], lt), _points([(t,) for _, t in canonical], rt)
+    type0 = np.array([[1.0 if x == y else 0.5 if x == "None" or {x, y} in KINDRED else 0.0 for y in rt] for x in lt])
+    lp, rp = sorted({_parent(h) for h in header}), sorted({_parent(n) for n, _ in canonical})
+    pa, pb = _points([(_parent(h),) for h in header], lp), _points([(_parent(n),) for n, _ in canonical], rp)
+    parent0 = np.array([[1.0 if x == y else 0.1 + 0.9 * max((word_score(v, w) for v in words(x) for w in words(y)), default=0.0) for y in rp] for x in lp])
+    bare = lambda names: [re.sub(r"[\W_]", "", n).lower() for n in names]
+    same = (np.array(bare(header), object)[:, None] == np.array(bare(n for n, _ in canonical), object)).astype(float)
+    word, kind, parent, cols = word0, type0, parent0, np.zeros_like(same)
+    for _ in range(MOST_ROUNDS):
         # Each word of one name gives its best partner of the other; both directions count.
         there = np.max(np.where(b[None, :, :] > 0, word[:, None, :], 0), 2)
         back = np.max(np.where(a[None, :, :] > 0, word.T[:, None, :], 0), 2)
         score = (a @ there + (b @ back).T) / np.maximum(a.sum(1)[:, None] + b.sum(1)[None, :], 1e-9)
-        new = 0.8 * score + 0.12 * typed + 0.6 * same + 0.1 * cols
-        new = new / new.max()
-        # Columns that fit strengthen the pairs of their words.
-        fed = a.T @ (new**3) @ b
-        word = word0 * (1 + 0.3 * fed / max(fed.max(), 1e-9))
-        word = word / word.max()
-        done = np.abs(new - cols).max() < 1e-3
+        new = 0.8 * score + 0.12 * (ta @ kind @ tb.T) + 0.6 * same + 0.1 * (pa @ parent @ pb.T)
+        new = 0.25 * cols + 0.75 * new / new.max()
+        # Columns that fit strengthen the pairs of what they point to.
+        word, kind, parent = _flooded(word0, a, b, new), _flooded(type0, ta, tb, new), _flooded(parent0, pa, pb, new)
+        done = np.abs(new - cols).max() < 1e-4
         cols = new
         if done:
             break
+    else:
+        raise RuntimeError(f"scores don't settle in {MOST_ROUNDS} rounds: {header}")
     out: list[str | None] = [None] * len(header)
     rest = np.where(score > 0, cols, 0.0)
-    while rest.size and (best := rest.max()) >= least:
+    while rest.size and rest.max() >= least:
         i, j = divmod(int(rest.argmax()), rest.shape[1])
         out[i] = canonical[j][0]
         rest[i, :] = 0
         rest[:, j] = 0
-        del best
     return tuple(out)

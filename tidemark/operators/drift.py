@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.flooding import correspond
 from tidemark.operators.ordering import with_previous
-from tidemark.session import materialise
+from tidemark.session import bounded, materialise, spread
 
 DELIMITERS = ",;|\t"
 BLANK = {"", "n/a", "na", "null"}
-KINDS = (
-    ("integer", re.compile(r"[+-]?\d+")),
-    ("decimal", re.compile(r"[+-]?(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?")),
-    ("date", re.compile(r"\d{4}-\d{2}-\d{2}")),
-    ("boolean", re.compile(r"true|false", re.I)),
+KIND = re.compile(
+    r"(?P<compact>(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))|(?P<integer>[+-]?\d+)"
+    r"|(?P<decimal>[+-]?(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<date>\d{4}-\d{2}-\d{2})|(?P<boolean>[Tt][Rr][Uu][Ee]|[Ff][Aa][Ll][Ss][Ee])"
 )
-COMPACT_DATE = re.compile(r"(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])")
+#: Files whose delimiters go to all tasks at most; lines of more are joined with them.
+MOST_FILES = 300_000
 
 
 def delimiter_of(line: str) -> str:
@@ -34,6 +33,8 @@ def delimiter_of(line: str) -> str:
 
 def cells(line: str, delimiter: str) -> list[str]:
     """The cells of one line, unquoted; never fails on a broken quote."""
+    if '"' not in line:
+        return line.split(delimiter)
     try:
         return next(csv.reader([line], delimiter=delimiter), [""])
     except csv.Error:
@@ -43,11 +44,10 @@ def cells(line: str, delimiter: str) -> list[str]:
 def kind_of(value: str) -> str | None:
     """integer, decimal, date, boolean or text; ``compact`` for an integer that reads as a date; null for a blank."""
     v = value.strip()
-    if v.lower() in BLANK:
+    if len(v) < 5 and v.lower() in BLANK:
         return None
-    if COMPACT_DATE.fullmatch(v):
-        return "compact"
-    return next((k for k, p in KINDS if p.fullmatch(v)), "text")
+    m = KIND.fullmatch(v)
+    return m.lastgroup if m else "text"
 
 
 def _headers(lines: DataFrame) -> DataFrame:
@@ -64,7 +64,8 @@ def _headers(lines: DataFrame) -> DataFrame:
 
 def _kinds(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """``file_id, pos, kind, n``: how many cells of a column are of which kind, counted within tasks first."""
-    rows = lines.where("line_no > 0 and line_text is not null").select("file_id", "line_text").join(heads.select("file_id", "delimiter", F.size("header").alias("width")), "file_id")
+    known = heads.select("file_id", "delimiter", F.size("header").alias("width"))
+    rows = spread(lines.where("line_no > 0 and line_text is not null").select("file_id", "line_text")).join(bounded(known, MOST_FILES), "file_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -93,10 +94,12 @@ def file_columns(lines: DataFrame, canonical: tuple[tuple[str, str], ...]) -> Da
     plain = counts.withColumn("base", F.when(F.col("kind") == "compact", "integer").otherwise(F.col("kind"))).groupBy("file_id", "pos", "base").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "compact", F.col("n"))).alias("compact"))
     best = plain.groupBy("file_id", "pos").agg(F.min_by(F.struct("base", (F.coalesce("compact", F.lit(0)) * 2 > F.col("n")).alias("compact")), F.struct(-F.col("n"), "base")).alias("b"))
     found = best.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "b"))).alias("kinds"))
-    files = heads.join(found, "file_id", "left")
+    files = heads.join(found.hint("merge"), "file_id", "left")
     at = lambda i: F.col("kinds")[i]
     files = files.withColumn("cols", F.transform("header", lambda h, i: F.struct(h.alias("header"), at(i)["base"].alias("kind"), at(i)["compact"].alias("compact")))).drop("kinds", "header")
 
+    files = materialise(files)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -104,10 +107,11 @@ def file_columns(lines: DataFrame, canonical: tuple[tuple[str, str], ...]) -> Da
                 header = tuple(c["header"] for c in cols)
                 got = correspond(header, tuple("date" if c["compact"] else c["kind"] for c in cols), canonical)
                 out.append([{"name": n or h, "header": h, "kind": c["kind"], "pos": i} for i, (n, h, c) in enumerate(zip(got, header, cols, strict=True))])
-            yield b.drop(columns="cols").assign(columns=out)
+            yield b.assign(columns=out)
 
-    kind = "file_id bigint, stream string, file_date date, delimiter string, columns array<struct<name:string,header:string,kind:string,pos:int>>"
-    return files.mapInPandas(run, kind)
+    kind = files.schema["cols"].dataType.simpleString()
+    schemas = files.select("cols").distinct().mapInPandas(run, f"cols {kind}, columns array<struct<name:string,header:string,kind:string,pos:int>>")
+    return files.join(schemas.hint("merge"), "cols").select("file_id", "stream", "file_date", "delimiter", "columns")
 
 
 def changes(files: DataFrame) -> DataFrame:
@@ -121,9 +125,10 @@ def changes(files: DataFrame) -> DataFrame:
     cols = files.select(F.col("file_id").alias("f"), F.explode("columns").alias("c")).select("f", F.col("c.name").alias("column_name"), F.col("c.header").alias("header"), F.col("c.kind").alias("kind"))
     cols = cols.groupBy("f", "column_name").agg(F.min("header").alias("header"), F.min("kind").alias("kind"))
     pairs = order.select("file_id", "before")
+    cols = cols.hint("merge")
     now = pairs.join(cols, pairs["file_id"] == cols["f"]).select("file_id", "column_name", F.col("header").alias("h1"), F.col("kind").alias("k1"))
     old = pairs.join(cols, pairs["before"] == cols["f"]).select("file_id", "column_name", F.col("header").alias("h0"), F.col("kind").alias("k0"))
-    both = now.join(old, ["file_id", "column_name"], "full")
+    both = now.join(old.hint("merge"), ["file_id", "column_name"], "full")
     what = F.array_compact(F.array(
         F.when(F.col("h0").isNull(), F.lit("added")),
         F.when(F.col("h1").isNull(), F.lit("removed")),
@@ -158,7 +163,7 @@ def consistent_table(lines: DataFrame, files: DataFrame, canonical: tuple[tuple[
     place = lambda n: F.coalesce(F.get(F.filter("columns", lambda c: c["name"] == n), F.lit(0))["pos"], F.lit(-1))
     pos = [place(n) for n in names]
     slots = files.select("file_id", "delimiter", F.array(*pos).alias("slots"))
-    rows = lines.where("line_no > 0 and line_text is not null").select("line_id", "file_id", "line_text").join(slots, "file_id")
+    rows = spread(lines.where("line_no > 0 and line_text is not null").select("line_id", "file_id", "line_text")).join(bounded(slots, MOST_FILES), "file_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
