@@ -120,7 +120,7 @@ def _spelled(rng, name):
 
 
 def test_whatever_may_stand_for_a_name_is_a_candidate(spark):
-    from tidemark.llm.blocking import candidates, name_words
+    from tidemark.llm.blocking import candidates, like_words, name_words, vocabulary
     from tidemark.llm.linkage import name_score
 
     rng = np.random.default_rng(3)
@@ -130,8 +130,10 @@ def test_whatever_may_stand_for_a_name_is_a_candidate(spark):
     typed = sorted({_spelled(rng, n) if n else n for n in listed for _ in range(3)} | {"Bob Tendiix", "R. Tendiix", "Tendiix RE", "Bill Oxo", "Global", "Foods, Global Inc", "q" * 2999 + " Foods"})
     a = name_words(spark.createDataFrame(list(enumerate(typed)), "a bigint, n string"), "a", "n")
     b = name_words(spark.createDataFrame(list(enumerate(listed)), "b bigint, n string"), "b", "n")
-    got = {(r.a, r.b) for r in candidates(a, b, "a", "b").collect()}
-    turned = {(r.a, r.b) for r in candidates(b, a, "b", "a").collect()}
+    alike = like_words(vocabulary(a), vocabulary(b))
+    back = alike.selectExpr("like word", "word like")
+    got = {(r.a, r.b) for r in candidates(a, b, alike, "a", "b").collect()}
+    turned = {(r.a, r.b) for r in candidates(b, a, back, "b", "a").collect()}
     strict = {(i, j) for i, x in enumerate(typed) for j, y in enumerate(listed) if stands_for(parse(x), parse(y))[0] > 0}
     assert strict and strict <= got
     assert {(i, j) for i, x in enumerate(typed) for j, y in enumerate(listed) if name_score(x, y)[0] > 0} <= got | turned
@@ -141,7 +143,7 @@ def test_deletion_keys_of_long_words():
     from tidemark.llm.blocking import deletion_keys
 
     long = "ab" * 20_000
-    at, keys = deletion_keys([long, long[:77] + long[78:], "abc", "abd", "abcd", "abxd", ""])
+    at, keys, _ = deletion_keys([long, long[:77] + long[78:], "abc", "abd", "abcd", "abxd", ""])
     share = lambda i, j: bool(set(keys[at == i]) & set(keys[at == j]))
     assert share(0, 1) and share(4, 5) and not share(2, 3) and not share(0, 4)
 

@@ -26,28 +26,30 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """``(place of the word, key)``: a hash of each word and, from four letters on, of the word without each letter.
+def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(place of the word, key, letter left out)``: a hash of each word (-1) and, from four letters on, of the word without each letter.
 
-    Words within one edit or swap share a key. The hashes are sums of powers, so a word of
+    Words within one edit or swap share a key, of letters at most one place apart where both
+    leave one out. The hashes are sums of powers, so a word of
     ``n`` letters costs ``n`` steps however long it is.
     """
     words = [w or "\0" for w in words]
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     size = np.array([len(w) for w in words])
     code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), size)
     start = np.concatenate(([0], size.cumsum()[:-1]))
     power = np.concatenate((np.ones(1, np.uint64), np.full(size.max() - 1, _P))).cumprod(dtype=np.uint64)
-    s = np.concatenate((np.zeros(1, np.uint64), ((code + np.uint64(1)) * power[np.arange(len(code)) - start[owner]]).cumsum(dtype=np.uint64)))
+    place = np.arange(len(code)) - start[owner]
+    s = np.concatenate((np.zeros(1, np.uint64), ((code + np.uint64(1)) * power[place]).cumsum(dtype=np.uint64)))
     first, last = s[start], s[start + size]
     less = (s[:-1] - first[owner]) + (last[owner] - s[1:]) * _BACK
     long = (size >= 4)[owner]
     value = np.concatenate((last - first, less[long]))
     value ^= np.concatenate((size, (size - 1)[owner][long])).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.concatenate((np.arange(len(words)), owner[long])), value.view(np.int64)
+    return np.concatenate((np.arange(len(words)), owner[long])), value.view(np.int64), np.concatenate((np.full(len(words), -1), place[long]))
 
 
 def name_words(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -76,37 +78,45 @@ def name_words(df: DataFrame, key: str, name: str) -> DataFrame:
     return got.mapInPandas(run, f"k {kind}, word string, second string, others array<string>").withColumnRenamed("k", key)
 
 
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """``word``: all words of ``name_words`` rows, and those written together."""
+    others = rows.select(F.explode("others").alias("c")).where("startswith(c, '=')").select(F.expr("substr(c, 2)").alias("word"))
+    return rows.select("word").unionAll(others).distinct()
+
+
 def _word_keys(words: DataFrame, out: str) -> DataFrame:
-    """``out, key`` rows of distinct words: with a letter left out, as its signs look, and by its nicknames."""
+    """``out, key, place`` rows of words: with a letter left out, as its signs look, and by its nicknames."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             spelled = [(w, x) for w in b["word"] for x in {w, seen_as(w), *("=" + f for f in _SHORT.get(w, ())), *(["=" + w] if w in NICKNAMES else [])}]
-            at, keys = deletion_keys([x for _, x in spelled])
-            yield pd.DataFrame({out: np.array([w for w, _ in spelled], object)[at], "key": keys})
+            at, keys, place = deletion_keys([x for _, x in spelled])
+            yield pd.DataFrame({out: np.array([w for w, _ in spelled], object)[at], "key": keys, f"at_{out}": place})
 
-    return words.select("word").distinct().mapInPandas(run, f"{out} string, key bigint").distinct()
+    return words.mapInPandas(run, f"{out} string, key bigint, at_{out} int")
 
 
 def like_words(words: DataFrame, listed: DataFrame) -> DataFrame:
-    """``word, like``: the distinct words that can stand for one of the ``listed`` words, whatever its place, with it."""
+    """``word, like``: the words of one ``vocabulary`` that can stand for one of the other's, whatever its place, and the reverse."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [max(likeness(w, f, True), likeness(f, w, True)) >= 0.5 for w, f in zip(b["word"], b["like"], strict=True)]
             yield b[np.array(ok, bool)] if len(b) else b
 
-    near = _word_keys(words, "word").join(_word_keys(listed, "like").hint("merge"), "key").select("word", "like").distinct()
-    return near.mapInPandas(run, "word string, like string")
+    apart = (F.col("at_word") < 0) | (F.col("at_like") < 0) | (F.abs(F.col("at_word") - F.col("at_like")) <= 1)
+    near = _word_keys(words, "word").join(_word_keys(listed, "like").hint("merge"), "key").where(apart).select("word", "like").distinct()
+    return materialise(near.mapInPandas(run, "word string, like string"))
 
 
-def candidates(typed: DataFrame, listed: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct ``a, b`` whose names (both as ``name_words`` rows) may stand for each other, ``typed`` for ``listed``."""
+def candidates(typed: DataFrame, listed: DataFrame, alike: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct ``a, b`` whose names (both as ``name_words`` rows) may stand for each other, ``typed`` for ``listed``.
+
+    ``alike`` are the ``like_words`` of both vocabularies.
+    """
     words, heads = typed.where("others is null").drop("others"), listed.where("others is not null")
-    right = heads.select(b, F.col("word").alias("first"), F.explode("others").alias("c")).distinct()
-    known = heads.select("word").unionAll(heads.select(F.explode("others").alias("c")).where("startswith(c, '=')").select(F.expr("substr(c, 2)").alias("word")))
-    alike = materialise(like_words(words, known))
-    first = words.join(alike.withColumnRenamed("like", "first").hint("merge"), "word").select(a, "first", "second").distinct()
+    right = heads.select(b, F.col("word").alias("first"), F.explode("others").alias("c"))
+    first = words.join(alike.withColumnRenamed("like", "first").hint("merge"), "word").select(a, "first", "second")
     letter = first.select(a, "first", F.coalesce(F.substring("second", 1, 1), F.lit("")).alias("c"))
     turned = alike.where("substr(word, 1, 1) <> substr(like, 1, 1)").select(F.col("word").alias("second"), F.concat(F.lit("="), "like").alias("c"))
     left = letter.unionAll(first.join(turned.hint("merge"), "second").select(a, "first", "c"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text_keys as K
-from tidemark.llm.blocking import candidates, name_words
+from tidemark.llm.blocking import candidates, like_words, name_words, vocabulary
 from tidemark.llm.labelmodel import LabelModel
 from tidemark.llm.names import BRACKETED, parse, stands_for
 from tidemark.session import materialise
@@ -50,7 +50,9 @@ def name_score(name: str, form: str) -> tuple[float, bool, int]:
 def scored_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """``nid, vid, score, whole, legal`` of the names of either side (nid, name and vid, v) that may stand for each other."""
     mine, theirs = materialise(name_words(left, "nid", "name")), materialise(name_words(right, "vid", "v"))
-    pairs = candidates(mine, theirs, "nid", "vid").unionByName(candidates(theirs, mine, "vid", "nid")).distinct()
+    alike = like_words(vocabulary(mine), vocabulary(theirs))
+    turned = alike.select(F.col("like").alias("word"), F.col("word").alias("like"))
+    pairs = candidates(mine, theirs, alike, "nid", "vid").unionByName(candidates(theirs, mine, turned, "vid", "nid")).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

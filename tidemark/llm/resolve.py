@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocking import candidates, name_words
+from tidemark.llm.blocking import candidates, like_words, name_words, vocabulary
 from tidemark.llm.names import Name, likeness, parse, stands_for
 from tidemark.session import materialise
 
@@ -93,7 +93,8 @@ def resolve(records: DataFrame, listed: DataFrame) -> DataFrame:
     alone, scores, done = records, None, None
     for turn in count():
         forms = materialise(forms.withColumn("f", F.monotonically_increasing_id()))
-        near = candidates(words, name_words(forms, "f", "form"), "nid", "f")
+        listed_words = materialise(name_words(forms, "f", "form"))
+        near = candidates(words, listed_words, like_words(vocabulary(words), vocabulary(listed_words)), "nid", "f")
         found = _scored(near.join(names.hint("merge"), "nid").join(forms.hint("merge"), "f"))
         scores = materialise(_best_form(found if scores is None else found.unionAll(scores.select("nid", "id", "score", (~F.col("whole")).alias("partial")))))
         # Codes of a spelling speak for a profile that has them and against one that has others.
