@@ -44,6 +44,18 @@ def related(df: DataFrame, k: int, top: Column, all_of: Column, forced: Column)
     return df.withColumn("kept_as", why).where(F.col("kept_as").isNotNull())
 
 
+def with_focal(kept: DataFrame, every: DataFrame, linked: str, focal: str, made: dict[str, Column], flag: str = "is_focal") -> DataFrame:
+    """Kept links with a flag for those to ``focal``, which is always among them: if none is kept its
+    links of ``every``, and if there is none either a row of ``made`` (other columns null)."""
+    near = every.where(F.col(linked) == focal)
+    has = kept.where(F.col(linked) == focal).limit(1).count()
+    extra = kept.limit(0) if has else near.select(*kept.columns)
+    if not has and not near.limit(1).count():
+        one = {**{c: F.lit(None) for c in kept.columns}, **made, linked: F.lit(focal)}
+        extra = kept.sparkSession.range(1).select(*(one[f.name].cast(f.dataType).alias(f.name) for f in kept.schema.fields))
+    return kept.unionByName(extra).withColumn(flag, F.coalesce(F.col(linked) == focal, F.lit(False)))
+
+
 def without_linked(universe: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates that aren't linked: a left anti join on all keys."""
     return universe.join(links.select(*keys).distinct(), keys, "left_anti")

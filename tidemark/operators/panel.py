@@ -16,15 +16,16 @@ def collapse(df: DataFrame, keys: list[str], order: list[str], *, first: list[st
 
     ``snapshots`` counts distinct structs, in which nulls count as values; ``distinct``
     leaves nulls out. More than one distinct value or snapshot sets ``<name>_inconsistent``.
-    A flag without any true value is false. One shuffle; distinct counts ride on it.
+    A flag without any true value is false. Distinct values are told apart before they are
+    counted, in partial aggregates, so a busy key holds no set of them in one task.
     """
     at = F.struct(*order)
     aggs = [F.count("*").alias(count)]
     aggs += [first_present(c, at).alias(c) for c in first]
     aggs += [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags]
-    aggs += [F.size(F.collect_set(c)).cast("bigint").alias(f"{c}_n") for c in distinct]
+    aggs += [F.countDistinct(c).alias(f"{c}_n") for c in distinct]
     snapshots = snapshots or {}
-    aggs += [F.size(F.collect_set(F.struct(*cs))).cast("bigint").alias(f"{n}_n") for n, cs in snapshots.items()]
+    aggs += [F.countDistinct(F.struct(*cs)).alias(f"{n}_n") for n, cs in snapshots.items()]
     out = df.groupBy(*keys).agg(*aggs)
     return out.select("*", *((F.col(f"{n}_n") > 1).alias(f"{n}_inconsistent") for n in [*distinct, *snapshots]))
 
@@ -70,3 +71,14 @@ def narrow_if_any(df: DataFrame, condition: Column, keys: list[str]) -> DataFram
     hits = df.where(met).select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return df.join(hits, on, "left").where(met | F.col(f"_{keys[0]}").isNull()).select(*df.columns)
+
+
+def nulls_first(df: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+    """Sorted by (column, descending) pairs, nulls first either way."""
+    return df.orderBy(*(F.col(c).desc_nulls_first() if down else F.col(c).asc_nulls_first() for c, down in order))
+
+
+def display_name(name: Column | str, fallback: Column | str) -> Column:
+    """The name, or the fallback where it is null or blank."""
+    name, fallback = (F.col(c) if isinstance(c, str) else c for c in (name, fallback))
+    return F.when(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\s\u00a0]+", "") != "", name).otherwise(fallback)

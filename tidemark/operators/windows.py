@@ -13,13 +13,14 @@ def in_window(relative: Column | str, bounds: tuple[int, int]) -> Column:
     return (F.col(relative) if isinstance(relative, str) else relative).between(*bounds)
 
 
-def date_map(days: DataFrame, day: str, event: Column, windows: dict[str, tuple[int, int]] = WINDOWS, most: int = 100_000) -> DataFrame:
+def date_map(days: DataFrame, day: str, event: Column, windows: dict[str, tuple[int, int]] = WINDOWS, most: int = 100_000, strict: bool = True) -> DataFrame:
     """Each distinct day with its offset in present days to the event's day, the next day and window flags.
 
     The calendar is whatever days occur. It is counted in one aggregate and held as a local
     table of a row per day, ``most`` of them at most (270 years of days; more is a
     ``ValueError``), so that joining it moves and repeats nothing. Days outside all windows
-    are left out; an event on a day that isn't there gives no rows.
+    are left out. An event on a day that isn't there, or without all the days its windows
+    ask for, is a ``ValueError`` too; where not ``strict`` it gives no or fewer rows.
     """
     spark = days.sparkSession
     have = sorted(r[0] for r in days.select(day).where(F.col(day).isNotNull()).distinct().limit(most + 1).collect())
@@ -28,6 +29,10 @@ def date_map(days: DataFrame, day: str, event: Column, windows: dict[str, tuple[
     zero = spark.range(1).select(event.alias("e")).first()[0]
     at = have.index(zero) if zero in have else None
     lo, hi = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
+    if strict and at is None:
+        raise ValueError(f"{zero} is none of the days")
+    if strict and not 0 <= at + lo <= at + hi < len(have):
+        raise ValueError(f"the windows ask for {-lo} days before and {hi} after {zero}; there are {at} and {len(have) - at - 1}")
     rows = [] if at is None else [(d, i - at, have[i + 1] if i + 1 < len(have) else None) for i, d in enumerate(have) if lo <= i - at <= hi]
     kind = days.schema[day].dataType.simpleString()
     out = spark.createDataFrame(rows, f"`{day}` {kind}, relative_day bigint, next_day {kind}")
