@@ -8,67 +8,92 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import with_number
 
-def fold(rows: list[tuple], long_gap: int, short_gap: int) -> list[int]:
-    """Cluster numbers of (day, party) rows in order; the newest cluster that fits takes a row.
+
+class Fold:
+    """Clusters of the rows of one entity, given in order; the newest cluster that fits takes a row.
 
     A row joins a cluster that knows its party within ``long_gap`` days of the cluster's
     last row, or within ``short_gap`` days if the row or the cluster has no party.
     """
-    clusters: list[list] = []
-    out = []
-    for day, party in rows:
-        for i in range(len(clusters) - 1, -1, -1):
-            last, parties = clusters[i]
-            gap = day - last
-            if (party is not None and party in parties and gap <= long_gap) or ((party is None or not parties) and gap <= short_gap):
+
+    def __init__(self, long_gap: int, short_gap: int):
+        self.long_gap, self.short_gap = long_gap, short_gap
+        self.open: list[dict] = []
+        self.made = 0
+
+    def add(self, at, day: int, party: str | None) -> dict:
+        """The cluster that takes the row."""
+        for c in reversed(self.open):
+            gap, parties = day - c["last"], c["parties"]
+            if (party in parties and gap <= self.long_gap) if party is not None and parties else gap <= self.short_gap:
                 break
         else:
-            clusters.append([day, set()])
-            i = len(clusters) - 1
-        clusters[i][0] = max(clusters[i][0], day)
+            c = {"number": self.made, "first": at, "last": day, "n": 0, "parties": set()}
+            self.made += 1
+            self.open.append(c)
+        c["last"] = max(c["last"], day)
+        c["n"] += 1
         if party is not None:
-            clusters[i][1].add(party)
-        out.append(i)
-    return out
+            c["parties"].add(party)
+        return c
+
+    def closed(self, day: int | None) -> list[dict]:
+        """Takes out the clusters that no row of ``day`` or later can join (all of them for none)."""
+        reach = max(self.long_gap, self.short_gap)
+        out = [c for c in self.open if day is None or day - c["last"] > reach]
+        if out:
+            self.open = [c for c in self.open if not (day is None or day - c["last"] > reach)]
+        return out
+
+
+def fold(rows: list[tuple], long_gap: int, short_gap: int) -> list[int]:
+    """Cluster numbers of (day, party) rows in order."""
+    f = Fold(long_gap, short_gap)
+    return [f.add(None, day, party)["number"] for day, party in rows]
 
 
 def cluster_events(df: DataFrame, entity: str, at: str, tie: str, party: str, long_gap: int = 365, short_gap: int = 30) -> DataFrame:
     """One row per cluster: ``entity, first_at, last_day, n_rows, parties, event_index``.
 
     Rows of an entity more than ``long_gap`` days after all before it can join nothing
-    older, so an entity is cut there and the pieces are folded apart; a piece is read in
-    sorted order and only its open clusters are held. ``event_index`` numbers clusters of
-    all entities by (entity, first row). Null entities and times are left out.
+    older, so an entity is cut there and the pieces are folded apart: where to cut is told
+    by the distinct days of an entity, not by its rows. A piece is read in sorted order and
+    only its open clusters are held; without a gap an entity is one piece, as its order
+    decides. ``event_index`` numbers the clusters of all entities from 1, by entity, piece
+    and the order in which they began. Null entities and times are left out.
     """
     day = F.unix_date(F.col(at).cast("date"))
-    rows = df.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(entity).alias("entity"), F.col(at).alias("at"), day.alias("day"), F.col(tie).alias("tie"), F.col(party).alias("party"))
-    w = Window.partitionBy("entity").orderBy("at", "tie")
-    gap = F.coalesce(F.col("day") - F.lag("day").over(w) > long_gap, F.lit(True))
-    pieces = rows.withColumn("piece", F.sum(gap.cast("int")).over(w)).repartition("entity", "piece").sortWithinPartitions("entity", "piece", "at", "tie")
+    rows = df.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(entity).alias("entity"), F.col(at).alias("at"), day.alias("day"), F.col(tie).alias("tie"), F.col(party).cast("string").alias("party"))
+    w = Window.partitionBy("entity").orderBy("day")
+    gap = F.coalesce(F.col("day") - F.lag("day").over(w) > max(long_gap, short_gap), F.lit(True))
+    days = rows.select("entity", "day").distinct().withColumn("piece", F.sum(gap.cast("int")).over(w))
+    pieces = rows.join(days.hint("merge"), ["entity", "day"]).repartition("entity", "piece").sortWithinPartitions("entity", "piece", "at", "tie")
     kind = rows.schema["entity"].dataType.simpleString()
     stamp = rows.schema["at"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held, now = Fold(long_gap, short_gap), None
         for b in batches:
-            whole = b if held is None else pd.concat([held, b])
-            if not len(whole):
-                continue
-            last = (whole["entity"] == whole["entity"].iloc[-1]) & (whole["piece"] == whole["piece"].iloc[-1])
-            held = whole[last]
-            yield done(whole[~last])
-        if held is not None and len(held):
-            yield done(held)
-
-    def done(t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (e, p), g in t.groupby(["entity", "piece"], sort=False):
-            ids = fold(list(zip(g["day"], g["party"].where(g["party"].notna(), None), strict=True)), long_gap, short_gap)
-            g = g.assign(c=ids)
-            for c, x in g.groupby("c", sort=False):
-                out.append((e, p, c, x["at"].iloc[0], int(x["day"].max()), len(x), ";".join(sorted({str(v) for v in x["party"].dropna()}))))
-        return pd.DataFrame(out, columns=["entity", "piece", "c", "first_at", "last_day", "n_rows", "parties"])
-
-    found = pieces.mapInPandas(run, f"entity {kind}, piece bigint, c bigint, first_at {stamp}, last_day int, n_rows bigint, parties string")
-    return found.select(F.col("entity").alias(entity), "first_at", F.date_from_unix_date("last_day").alias("last_day"), "n_rows", "parties")
+            out: list[tuple] = []
+
+            def done(clusters: list[dict], out=out) -> None:
+                out.extend((*now, c["number"], c["first"], c["last"], c["n"], ";".join(sorted(c["parties"]))) for c in clusters)
+
+            for e, p, t, d, who in zip(b["entity"].tolist(), b["piece"].tolist(), b["at"].tolist(), b["day"].tolist(), b["party"].where(b["party"].notna(), None).tolist(), strict=True):
+                if (e, p) != now:
+                    done(held.closed(None))
+                    held, now = Fold(long_gap, short_gap), (e, p)
+                done(held.closed(d))
+                held.add(t, d, who)
+            yield pd.DataFrame(out, columns=COLUMNS)
+        if now is not None:
+            yield pd.DataFrame([(*now, c["number"], c["first"], c["last"], c["n"], ";".join(sorted(c["parties"]))) for c in held.closed(None)], columns=COLUMNS)
+
+    found = pieces.mapInPandas(run, f"entity {kind}, piece bigint, number bigint, first_at {stamp}, last_day int, n_rows bigint, parties string")
+    numbered = with_number(found, ["entity", "piece", "number"], "event_index")
+    return numbered.select(F.col("entity").alias(entity), "first_at", F.date_from_unix_date("last_day").alias("last_day"), "n_rows", "parties", "event_index")
+
+
+COLUMNS = ["entity", "piece", "number", "first_at", "last_day", "n_rows", "parties"]

@@ -459,7 +459,19 @@ def candidate_select(spark: SparkSession, d: str) -> DataFrame:
     return entities.clear_winner(e, "query", "candidate", "s", "n").select("query", "candidate", "score", "hits")
 
 
-@query()
+_FITS = """list_filter(generate_series(1, len(cl)), lambda i: CASE WHEN n.party IS NOT NULL AND len(cl[i].parties) > 0
+    THEN list_contains(cl[i].parties, n.party) AND n.day - cl[i].last <= 3 ELSE n.day - cl[i].last <= 1 END)"""
+
+
+@query(f"""WITH RECURSIVE rows AS (SELECT user_id, ts, CAST(ts AS DATE) AS day, CASE WHEN event_type <> 'view' THEN event_type END AS party, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+        FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    f AS (
+        SELECT user_id, rn, ts, day, party, CAST(1 AS BIGINT) AS hit, [{{'last': day, 'parties': CASE WHEN party IS NULL THEN CAST([] AS VARCHAR[]) ELSE [party] END}}] AS cl FROM rows WHERE rn = 1
+        UNION ALL SELECT user_id, rn, ts, day, party, hit, CASE WHEN hit > len(cl) THEN list_append(cl, {{'last': day, 'parties': CASE WHEN party IS NULL THEN CAST([] AS VARCHAR[]) ELSE [party] END}})
+            ELSE list_transform(cl, lambda c, i: CASE WHEN i = hit THEN {{'last': greatest(c.last, day), 'parties': CASE WHEN party IS NULL OR list_contains(c.parties, party) THEN c.parties ELSE list_append(c.parties, party) END}} ELSE c END) END
+        FROM (SELECT n.user_id, n.rn, n.ts, n.day, n.party, cl, coalesce(list_max({_FITS}), len(cl) + 1) AS hit FROM f JOIN rows n ON n.user_id = f.user_id AND n.rn = f.rn + 1)),
+    c AS (SELECT user_id, hit, min(rn) AS rn, arg_min(ts, rn) AS first_at, max(day) AS last_day, count(*) AS n_rows, coalesce(array_to_string(list_sort(list(DISTINCT party) FILTER (WHERE party IS NOT NULL)), ';'), '') AS parties FROM f GROUP BY 1, 2)
+    SELECT user_id, first_at, last_day, n_rows, parties, row_number() OVER (ORDER BY user_id, rn) AS event_index FROM c""")
 def event_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user folded into clusters by type and time."""
     e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type")
