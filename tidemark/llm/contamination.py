@@ -3,9 +3,9 @@
 A document leaks an item if it holds ``window`` consecutive words of it with at most
 ``changed`` of them changed or dropped and at most ``stray`` words put in between. With
 ``changed + stray`` errors, one of ``changed + stray + 1`` equal pieces of the window stays
-whole: all pieces of all windows are looked up exactly, and around each hit the windows that
-hold the piece are verified by Myers' bit-parallel edit distance, many windows side by side
-in numpy. Where the distance alone doesn't tell, an exact count of changed and stray words
+whole: all pieces of all windows are looked up exactly, and around the hits the windows that
+hold as many pieces as such a window must keep are verified by Myers' bit-parallel edit
+distance, many windows side by side in numpy. Where the distance alone doesn't tell, an exact count of changed and stray words
 follows.
 """
 
@@ -14,10 +14,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,8 @@ class Passages:
     def __init__(self, items: list[tuple[int, str | None]], window: int = 20, changed: int = 2, stray: int = 3):
         self.window, self.changed, self.stray = window, changed, stray
         self.piece = window // (changed + stray + 1)
+        # Of all places of a piece in a window a changed word spoils as many as a piece has words, a stray one one less.
+        self.kept = max(1, window - self.piece + 1 - changed * self.piece - stray * (self.piece - 1))
         texts = [(k, w) for k, t in items if len(w := words_of(t)) >= window]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
         self.items = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in texts]
@@ -93,13 +98,21 @@ class Passages:
         # Hits of an item within reach of each other are verified together.
         new = np.concatenate(([True], (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > reach)))
         start = np.flatnonzero(new)
-        first, last = np.minimum.reduceat(at, start), np.maximum.reduceat(at, start)
-        begin, end = pos[start], np.maximum.reduceat(pos, start)
+        size = np.diff(np.concatenate((start, [len(item)])))
         out = []
-        for i, a, b, x, y in zip(item[start], first, last, begin, end, strict=True):
-            most = len(self.items[i]) - self.window
-            out.append((int(i), max(0, int(a) + self.piece - self.window), min(most, int(b)), max(0, int(x) + self.piece - reach), min(len(doc), int(y) + reach)))
-        return [r for r in out if r[2] >= r[1] and r[4] - r[3] >= self.window - self.changed]
+        for i, n in zip(start[size >= self.kept].tolist(), size[size >= self.kept].tolist(), strict=True):
+            places = np.unique(at[i : i + n])
+            if len(places) < self.kept:
+                continue
+            # A window that begins at s holds the pieces from s to s + window - piece.
+            most = len(self.items[item[i]]) - self.window
+            first = np.maximum(places[self.kept - 1 :] - (self.window - self.piece), 0)
+            last = np.minimum(places[: len(first)], most)
+            ok = first <= last
+            if ok.any():
+                begin, end = int(pos[i]), int(pos[i + n - 1])
+                out.append((int(item[i]), int(first[ok].min()), int(last[ok].max()), max(0, begin + self.piece - reach), min(len(doc), end + reach)))
+        return [r for r in out if r[4] - r[3] >= self.window - self.changed]
 
     def verify(self, jobs: list[tuple[np.ndarray, tuple[int, int, int, int, int]]]) -> np.ndarray:
         """For each (document, region) whether one of its windows is held there."""
@@ -167,11 +180,11 @@ class Passages:
                 return True
         return False
 
-    def leaks(self, keys: list, texts: list[str | None], lanes: int = 60_000) -> list[tuple[int, int]]:
-        """``(document, item id)`` pairs of a batch."""
-        jobs, whose = [], []
+    def leaks(self, keys: list, texts: list[list[str]], lanes: int = 60_000) -> list[tuple[int, int]]:
+        """``(document, item id)`` pairs of a batch of texts, given as their words."""
+        jobs, whose, known = [], [], self.vocabulary.get
         for key, t in zip(keys, texts, strict=True):
-            doc = np.array([self.vocabulary.get(w, 0) for w in words_of(t)], np.int64)
+            doc = np.array([known(w, 0) for w in t], np.int64)
             for r in self.regions(doc):
                 jobs.append((doc, r))
                 whose.append((key, int(self.item_ids[r[0]])))
@@ -193,27 +206,35 @@ class Passages:
         return sorted(out)
 
 
+@lru_cache(maxsize=16)
+def _passages(number: int, block: Broadcast, window: int, changed: int, stray: int) -> Passages:
+    """The passages of one block of items, kept by a worker for as long as few others are asked for."""
+    del number
+    return Passages(block.value, window, changed, stray)
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 20, changed: int = 2, stray: int = 3, block: int = 2000) -> DataFrame:
     """``doc_id, item_id`` once per document and item it holds a passage of.
 
-    Items go to the tasks in blocks of at most ``block`` (all are worked off, block by
-    block); documents never move. Items with fewer than ``window`` words, documents with fewer than
+    Items are sent to the tasks in blocks of at most ``block``, read one after another by the
+    driver, which holds one block at a time; documents never move and are read once, however
+    many blocks there are. Items with fewer than ``window`` words, documents with fewer than
     ``window - changed``, null and empty ones hold nothing. Repeated items count once each id.
     """
     kind = docs.schema[doc].dataType.simpleString()
-    rows = sorted({(r[0], r[1]) for r in items.select(item, item_text).where(F.col(item_text).isNotNull()).toLocalIterator()})
-    out = None
-    for i in range(0, max(len(rows), 1), block):
-        passages = Passages(rows[i : i + block], window, changed, stray)
-
-        def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for k in range(0, b.num_rows, 1000):
-                    part = b.slice(k, 1000)
-                    got = passages.leaks(part.column(0).to_pylist(), part.column(1).to_pylist())
-                    if got:
+    sc = docs.sparkSession.sparkContext
+    rows = items.select(item, item_text).where(F.col(item_text).isNotNull()).distinct().toLocalIterator()
+    blocks = []
+    while some := [(r[0], r[1]) for r in islice(rows, block)]:
+        blocks.append(sc.broadcast(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                keys, words = part.column(0).to_pylist(), [words_of(t) for t in part.column(1).to_pylist()]
+                for n, items in enumerate(blocks):
+                    if got := _passages(n, items, window, changed, stray).leaks(keys, words):
                         yield pa.RecordBatch.from_pandas(pd.DataFrame(got, columns=["doc_id", "item_id"]), preserve_index=False)
 
-        part = docs.where(F.col(text).isNotNull()).select(doc, text).mapInArrow(run, f"doc_id {kind}, item_id bigint")
-        out = part if out is None else out.unionAll(part)
-    return out.distinct()
+    return docs.where(F.col(text).isNotNull()).select(doc, text).mapInArrow(run, f"doc_id {kind}, item_id bigint").distinct()
