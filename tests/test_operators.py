@@ -20,7 +20,9 @@ def test_clusters_against_one_pass_per_entity(spark):
         ids = clusters.fold([((t.date() - date(1970, 1, 1)).days, p) for t, _, p in mine], 40, 5)
         for c in set(ids):
             sel = [m for m, k in zip(mine, ids, strict=True) if k == c]
-            want.append((e, sel[0][0], sel[-1][0].date(), len(sel), ";".join(sorted({p for *_, p in sel if p}))))
+            want.append((e, sel[0][0], sel[-1][0].date(), len(sel), ";".join(sorted({p for *_, p in sel if p})), sel[0][1]))
+    # Numbered by entity and by the row that began the cluster.
+    want = [(*x[:-1], i + 1) for i, x in enumerate(sorted(want, key=lambda x: (x[0], x[1], x[-1])))]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 

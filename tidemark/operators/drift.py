@@ -110,7 +110,7 @@ def file_columns(lines: DataFrame, canonical: tuple[tuple[str, str], ...]) -> Da
             yield b.assign(columns=out)
 
     kind = files.schema["cols"].dataType.simpleString()
-    schemas = files.select("cols").distinct().mapInPandas(run, f"cols {kind}, columns array<struct<name:string,header:string,kind:string,pos:int>>")
+    schemas = files.select("cols").distinct().repartition(files.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"cols {kind}, columns array<struct<name:string,header:string,kind:string,pos:int>>")
     return files.join(schemas.hint("merge"), "cols").select("file_id", "stream", "file_date", "delimiter", "columns")
 
 
