@@ -4,6 +4,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import skewed_keys
 from tidemark.operators.skewed_keys import Accumulators
 
 
@@ -24,16 +25,30 @@ def expect(rows):
     return {k: (len(v), sum(q or 0 for q, _ in v), median(ok(v)) if ok(v) else None) for k, v in by.items()}
 
 
-@pytest.mark.parametrize("bound", [200_000, 10])
-def test_against_brute_force(spark, bound):
+@pytest.mark.parametrize("flush, broadcast", [(500_000, 200_000), (20, 200_000), (500_000, 3)])
+def test_against_brute_force(spark, monkeypatch, flush, broadcast):
+    monkeypatch.setattr(skewed_keys, "FLUSH", flush)
+    monkeypatch.setattr(skewed_keys, "MOST_KEYS", broadcast)
     rows, df = frame(spark)
-    a = Accumulators(df.repartition(5), F.col("k"), max_keys=bound, fan=3)
-    assert a.bounded == (bound > 100)
-    n = {r.key: (r.n, r.s) for r in a.counts({"s": F.col("q")}).collect()}
-    m = {r.key: r.median for r in a.medians(F.col("x")).collect()}
+    a = Accumulators(df.repartition(5), F.col("k"))
     want = expect(rows)
-    assert n == {k: v[:2] for k, v in want.items()}
-    assert m == pytest.approx({k: v[2] for k, v in want.items()})
+    assert {r.key: (r.n, r.s) for r in a.counts({"s": F.col("q")}).collect()} == {k: v[:2] for k, v in want.items()}
+    near = lambda m: {k: None if x is None else round(x, 12) for k, x in m.items()}
+    assert near({r.key: r.median for r in a.medians(F.col("x")).collect()}) == near({k: v[2] for k, v in want.items()})
+    both = a.counts_and_medians({"s": F.col("q")}, {"m": F.col("x")}).collect()
+    assert {r.key: (r.n, r.s) for r in both} == {k: v[:2] for k, v in want.items()}
+    assert near({r.key: r.m for r in both}) == near({k: v[2] for k, v in want.items()})
+
+
+def test_medians_of_many_values(spark):
+    rng = random.Random(9)
+    rows = [("a" if i % 3 else "b", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for i in range(4001)]
+    rows += [("c", float("inf")), ("c", float("-inf")), ("c", 5.0), ("d", 1e308), ("d", 1.7e308), ("e", float("inf"))]
+    got = {r.key: r.median for r in Accumulators(spark.createDataFrame(rows, "k string, x double"), F.col("k")).medians(F.col("x")).collect()}
+    for k in "abc":
+        v = sorted(x for n, x in rows if n == k)
+        assert got[k] == pytest.approx((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2)
+    assert got["e"] == float("inf")
 
 
 def test_empty_and_one_value(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text_keys as K
 from tidemark.operators import asof, drift, skewed_keys, spikes, timestamps
+from tidemark.session import materialise
 from tidemark.tables import table
 
 NEW_YORK = "America/New_York"
@@ -76,16 +77,15 @@ def _symbols(spark: SparkSession, d: str, *columns: str) -> skewed_keys.Accumula
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Symbols with at least one fortieth of all rows."""
-    n = _symbols(spark, d).counts()
+    n = materialise(_symbols(spark, d).counts())
     total = n.agg(F.sum("n").alias("total"))
     return n.crossJoin(F.broadcast(total)).where("key is not null and n * 40 >= total").select(F.col("key").alias("underlying_symbol"))
 
 
 def p7_stats(spark: SparkSession, d: str) -> DataFrame:
     """Rows, volume and exact median mid per symbol."""
-    a = _symbols(spark, d, "trade_volume", "mid_1545")
-    n, m = a.counts({"volume": F.col("trade_volume")}), a.medians(F.col("mid_1545"), "median_mid")
-    return n.join(m, n["key"].eqNullSafe(m["key"])).select(n["key"].alias("underlying_symbol"), F.col("n").alias("n_rows"), "volume", F.round("median_mid", 6).alias("median_mid"))
+    s = _symbols(spark, d, "trade_volume", "mid_1545").counts_and_medians({"volume": F.col("trade_volume")}, {"median_mid": F.col("mid_1545")})
+    return s.select(F.col("key").alias("underlying_symbol"), F.col("n").alias("n_rows"), "volume", F.round("median_mid", 6).alias("median_mid"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_table, p7_found, p7_stats)}
