@@ -60,7 +60,7 @@ def excerpt(c: Column | str, labels: dict[str, str], before: int = 120, after: i
 def clean_capture(c: Column, stops: tuple[str, ...], most: int = 12) -> Column:
     """A captured name up to the first stop word, trimmed; null if empty or of more than ``most`` words."""
     cut = F.split(c, rf"(?i)\b(?:{'|'.join(stops)})\b", 2)[0]
-    text = F.regexp_replace(F.regexp_replace(cut, r"[\s ]+", " "), r"^[\s,.;:]+|[\s,.;:]+$", "")
+    text = F.regexp_replace(F.regexp_replace(cut, r"[\s ]+", " "), r"^[\s,.;:-]+|[\s,.;:-]+$", "")
     return F.when((text != "") & (F.size(F.split(text, " ")) <= most), text)
 
 

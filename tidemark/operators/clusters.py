@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import with_number
+from tidemark.session import materialise
 
 
 class Fold:
@@ -54,6 +56,43 @@ def fold(rows: list[tuple], long_gap: int, short_gap: int) -> list[int]:
     return [f.add(None, day, party)["number"] for day, party in rows]
 
 
+def _pieces(df: DataFrame, entity: str, at: str, tie: str, party: str, reach: int, carried: list[str] = ()) -> DataFrame:
+    """``entity, piece, at, day, tie, party`` (and what is carried), an entity cut where nothing can reach across, each piece in order."""
+    day = F.unix_date(F.col(at).cast("date"))
+    rows = df.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(entity).alias("entity"), F.col(at).alias("at"), day.alias("day"), F.col(tie).alias("tie"), F.col(party).cast("string").alias("party"), *carried)
+    w = Window.partitionBy("entity").orderBy("day")
+    gap = F.coalesce(F.col("day") - F.lag("day").over(w) > reach, F.lit(True))
+    days = rows.select("entity", "day").distinct().withColumn("piece", F.sum(gap.cast("int")).over(w))
+    return rows.join(days.hint("merge"), ["entity", "day"]).repartition("entity", "piece").sortWithinPartitions("entity", "piece", "at", "tie")
+
+
+def assign_clusters(df: DataFrame, entity: str, at: str, tie: str, party: str, long_gap: int = 365, short_gap: int = 30) -> DataFrame:
+    """``df`` with each row's ``cluster`` (numbered within its entity) and ``event_index`` (over all, from 1).
+
+    Both numbers follow entity, piece and the order in which clusters began. Rows without
+    entity or time are left out.
+    """
+    pieces = _pieces(df, entity, at, tie, party, max(long_gap, short_gap), [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = Fold(long_gap, short_gap), None
+        for b in batches:
+            got = []
+            for e, p, d, who in zip(*(b.column(n).to_pylist() for n in ("entity", "piece", "day", "party")), strict=True):
+                if (e, p) != now:
+                    held, now = Fold(long_gap, short_gap), (e, p)
+                held.closed(d)
+                got.append(held.add(None, d, who)["number"])
+            yield pa.RecordBatch.from_arrays([b.column("entity"), b.column("piece"), pa.array(got, pa.int64()), b.column("row")], ["entity", "piece", "number", "row"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
+    rows = materialise(pieces.mapInArrow(run, f"entity {kinds['entity']}, piece bigint, number bigint, row {kinds['row']}"))
+    numbers = with_number(rows.select("entity", "piece", "number").distinct(), ["entity", "piece", "number"], "event_index")
+    first = numbers.groupBy("entity").agg(F.min("event_index").alias("_first"))
+    numbers = numbers.join(first.hint("merge"), "entity").withColumn("cluster", F.col("event_index") - F.col("_first"))
+    return rows.join(numbers.hint("merge"), ["entity", "piece", "number"]).select("row.*", "cluster", "event_index")
+
+
 def cluster_events(df: DataFrame, entity: str, at: str, tie: str, party: str, long_gap: int = 365, short_gap: int = 30) -> DataFrame:
     """One row per cluster: ``entity, first_at, last_day, n_rows, parties, event_index``.
 
@@ -64,14 +103,9 @@ def cluster_events(df: DataFrame, entity: str, at: str, tie: str, party: str, lo
     decides. ``event_index`` numbers the clusters of all entities from 1, by entity, piece
     and the order in which they began. Null entities and times are left out.
     """
-    day = F.unix_date(F.col(at).cast("date"))
-    rows = df.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(entity).alias("entity"), F.col(at).alias("at"), day.alias("day"), F.col(tie).alias("tie"), F.col(party).cast("string").alias("party"))
-    w = Window.partitionBy("entity").orderBy("day")
-    gap = F.coalesce(F.col("day") - F.lag("day").over(w) > max(long_gap, short_gap), F.lit(True))
-    days = rows.select("entity", "day").distinct().withColumn("piece", F.sum(gap.cast("int")).over(w))
-    pieces = rows.join(days.hint("merge"), ["entity", "day"]).repartition("entity", "piece").sortWithinPartitions("entity", "piece", "at", "tie")
-    kind = rows.schema["entity"].dataType.simpleString()
-    stamp = rows.schema["at"].dataType.simpleString()
+    pieces = _pieces(df, entity, at, tie, party, max(long_gap, short_gap))
+    kind = pieces.schema["entity"].dataType.simpleString()
+    stamp = pieces.schema["at"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, now = Fold(long_gap, short_gap), None

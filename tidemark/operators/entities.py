@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text_keys as K
+
 
 def unique_lookup(df: DataFrame, key: str, values: list[str]) -> DataFrame:
     """``key`` and its values, for keys all of whose rows agree; null keys have none."""
@@ -60,3 +62,16 @@ def first_clear(evidence: DataFrame, query: str, step: str, candidate: str, scor
 def take_first(df: DataFrame, out: str, options: list[Column]) -> DataFrame:
     """``out``: the first of several structs that is there - as parties of a deal are told by the best source that names them."""
     return df.withColumn(out, F.coalesce(*options))
+
+
+def symbol_universe(df: DataFrame, symbol: str, day: str, first: str, last: str, only: list[str] | None = None) -> DataFrame:
+    """``symbol``: the distinct symbols of rows from the first to the last day, or of them those asked for; both filters reach the scan."""
+    rows = df.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")) & F.col(symbol).isNotNull())
+    out = rows.select(K.symbol(symbol).alias("symbol"))
+    return (out if only is None else out.where(F.col("symbol").isin(*only))).distinct()
+
+
+def matched_and_not(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the rows of ``right`` of the same key (``matched``), and once with nulls where there is none."""
+    out = left.join(right.withColumn("matched", F.lit(True)), key, "left")
+    return out.withColumn("matched", F.coalesce("matched", F.lit(False)))

@@ -418,10 +418,10 @@ def keyword_excerpt(spark: SparkSession, d: str) -> DataFrame:
 
 
 PARTY = (r"([A-Z][\w.& ]+?) said on [\w ]+ that it had signed a definitive agreement to be acquired by ([A-Z][\w.& ]+?) for",)
-STOPS = ("for", "under", "pursuant", "through", "dated", "at")
+STOPS = ("for", "under", "pursuant", "through", "dated", "and", "at", "by and among", "upon", "to form", "for cash")
 
 
-@query(r"""SELECT doc_id, a AS first, b AS second FROM (SELECT doc_id, trim(regexp_replace(CASE WHEN regexp_matches(x, '(?i)\b(?:for|under|pursuant|through|dated|at)\b') THEN regexp_extract(x, '(?is)^(.*?)\b(?:for|under|pursuant|through|dated|at)\b', 1) ELSE x END, '\s+', ' ', 'g'), ' ,.;:') AS a, trim(regexp_replace(CASE WHEN regexp_matches(y, '(?i)\b(?:for|under|pursuant|through|dated|at)\b') THEN regexp_extract(y, '(?is)^(.*?)\b(?:for|under|pursuant|through|dated|at)\b', 1) ELSE y END, '\s+', ' ', 'g'), ' ,.;:') AS b FROM (SELECT doc_id, regexp_extract(text, '([A-Z][\w.& ]+?) said on [\w ]+ that it had signed a definitive agreement to be acquired by ([A-Z][\w.& ]+?) for', 1) AS x,
+@query(r"""SELECT doc_id, a AS first, b AS second FROM (SELECT doc_id, trim(regexp_replace(CASE WHEN regexp_matches(x, '(?i)\b(?:for|under|pursuant|through|dated|and|at|by and among|upon|to form|for cash)\b') THEN regexp_extract(x, '(?is)^(.*?)\b(?:for|under|pursuant|through|dated|and|at|by and among|upon|to form|for cash)\b', 1) ELSE x END, '\s+', ' ', 'g'), ' ,.;:-') AS a, trim(regexp_replace(CASE WHEN regexp_matches(y, '(?i)\b(?:for|under|pursuant|through|dated|and|at|by and among|upon|to form|for cash)\b') THEN regexp_extract(y, '(?is)^(.*?)\b(?:for|under|pursuant|through|dated|and|at|by and among|upon|to form|for cash)\b', 1) ELSE y END, '\s+', ' ', 'g'), ' ,.;:-') AS b FROM (SELECT doc_id, regexp_extract(text, '([A-Z][\w.& ]+?) said on [\w ]+ that it had signed a definitive agreement to be acquired by ([A-Z][\w.& ]+?) for', 1) AS x,
     regexp_extract(text, '([A-Z][\w.& ]+?) said on [\w ]+ that it had signed a definitive agreement to be acquired by ([A-Z][\w.& ]+?) for', 2) AS y FROM documents)) WHERE a <> '' AND b <> '' AND len(string_split(a, ' ')) <= 12 AND len(string_split(b, ' ')) <= 12""")
 def party_capture(spark: SparkSession, d: str) -> DataFrame:
     """The two parties a document names, where both captures are names."""
