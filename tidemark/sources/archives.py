@@ -8,20 +8,22 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import date
-from pathlib import Path
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import files
+
 # What stands for a missing value.
 NULL_TOKENS = ("", "NULL", "null", "NA", "N/A")
 _DATE = re.compile(r"_(\d{4})-(\d{2})-(\d{2})\.zip$")
 
 
-def discover(root: str, pattern: str = "*.zip") -> list[str]:
-    """All matching files below a folder, absolute and sorted."""
-    return sorted(str(p.resolve()) for p in Path(root).rglob(pattern))
+def discover(spark: SparkSession, root: str, suffix: str = ".zip") -> list[str]:
+    """All files of that suffix below a folder of any file system, as full paths, sorted."""
+    return files.files(spark, root, suffix)
 
 
 def archive_date(path: str) -> date:
@@ -44,26 +46,31 @@ def read_zipped(spark: SparkSession, paths: list[str], batch: int = 20_000) -> D
     An archive must hold exactly one CSV. Files are opened on the executors, one task each,
     and streamed in batches, so neither the driver nor a task holds a whole file's rows.
     """
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(len(paths), 1))
+    found = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(len(paths), 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = lambda rows: pd.DataFrame(rows, columns=["archive", "member", "row"])
         for b in batches:
             for path in b["path"]:
-                with zipfile.ZipFile(path) as z:
+                system, at = FileSystem.from_uri(path)
+                with system.open_input_file(at) as raw, zipfile.ZipFile(raw) as z:
                     members = [n for n in z.namelist() if n.lower().endswith(".csv")]
                     if len(members) != 1:
                         raise ValueError(f"{path} holds {len(members)} CSV files")
                     with z.open(members[0]) as f:
-                        rows = []
-                        for row in csv.DictReader(io.TextIOWrapper(f, "utf-8-sig", newline="")):
-                            rows.append((path, members[0], {k: None if v in NULL_TOKENS else v for k, v in row.items() if k is not None}))
+                        lines = csv.reader(io.TextIOWrapper(f, "utf-8-sig", newline=""))
+                        names, rows = next(lines, []), []
+                        for line in lines:
+                            if line:
+                                values = [None if v in NULL_TOKENS else v for v in line[: len(names)]]
+                                rows.append((path, members[0], dict(zip(names, values + [None] * (len(names) - len(values)), strict=True))))
                             if len(rows) == batch:
-                                yield pd.DataFrame(rows, columns=["archive", "member", "row"])
+                                yield out(rows)
                                 rows = []
                         if rows:
-                            yield pd.DataFrame(rows, columns=["archive", "member", "row"])
+                            yield out(rows)
 
-    return files.mapInPandas(run, "archive string, member string, row map<string,string>")
+    return found.mapInPandas(run, "archive string, member string, row map<string,string>")
 
 
 def canonical(name: str, aliases: dict[str, str] | None = None) -> str:

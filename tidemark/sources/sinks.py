@@ -1,65 +1,61 @@
-"""Partitioned tables, JSON reports and bundles."""
+"""Partitioned tables, Markdown tables and bundles."""
 
 from __future__ import annotations
 
-import json
 import zipfile
+from datetime import date
 from pathlib import Path
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import files
 
-def partitions(path: str, column: str) -> set[str]:
-    """The values a partitioned table has; a folder that isn't a partition is a ``ValueError``."""
-    root = Path(path.removeprefix("file://"))
-    if not root.exists():
-        return set()
+
+def partitions(spark: SparkSession, path: str, column: str) -> set[str]:
+    """The values a partitioned table has, on any file system; a folder that isn't a partition is a ``ValueError``."""
     out = set()
-    for p in root.iterdir():
-        if p.is_dir() and not p.name.startswith(("_", ".")):
-            if not p.name.startswith(f"{column}="):
-                raise ValueError(f"{p.name} is no partition of {column}")
-            out.add(p.name.split("=", 1)[1])
+    for name in files.folders(spark, path):
+        if not name.startswith(f"{column}="):
+            raise ValueError(f"{name} is no partition of {column}")
+        out.add(unquote(name.split("=", 1)[1]))
     return out
 
 
+def partition_paths(spark: SparkSession, path: str, column: str, first: date | None = None, last: date | None = None) -> list[str]:
+    """The folders of a table partitioned by date within the bounds, both included, in order."""
+    days = sorted((date.fromisoformat(v), v) for v in partitions(spark, path, column))
+    return [f"{path.rstrip('/')}/{column}={v}" for d, v in days if (first is None or d >= first) and (last is None or d <= last)]
+
+
+def date_bounds(df: DataFrame, day: str) -> tuple[date | None, date | None]:
+    """The first and the last day of a table, null without any."""
+    r = df.agg(F.min(day), F.max(day)).first()
+    return r[0], r[1]
+
+
 def write_partitions(df: DataFrame, path: str, column: str, *, overwrite: bool = False, sort: list[str] = ()) -> dict[str, int]:
     """Writes a partition for each value of ``column``; those there already are skipped, or replaced.
 
-    Rows are brought together by the partition column before they are written, in as many
-    parts as a day's rows ask for (AQE splits large ones), so that there are few files.
-    Returns how many partitions were written and skipped.
+    Existing partitions are looked up in the file system that the path names. They leave
+    the rows by an anti join, so their number doesn't matter. Rows are brought together by
+    the partition column before they are written, in as many parts as a day's rows ask for
+    (AQE splits large ones), so that there are few files. Returns how many partitions were
+    written and skipped.
     """
-    have = partitions(path, column)
-    values = {str(r[0]) for r in df.select(column).distinct().collect()}
-    skipped = set() if overwrite else values & have
-    new = df if not skipped else df.where(~F.col(column).cast("string").isin(*skipped))
-    if values - skipped:
+    spark = df.sparkSession
+    have = partitions(spark, path, column)
+    values = df.select(F.col(column).cast("string").alias("v")).distinct()
+    there = spark.createDataFrame([(v,) for v in sorted(have)], "v string")
+    counted = values.join(F.broadcast(there.withColumn("old", F.lit(True))), "v", "left").agg(F.count("*").alias("n"), F.count("old").alias("old")).first()
+    skipped = 0 if overwrite else counted["old"]
+    new = df if not skipped else df.join(F.broadcast(there), F.col(column).cast("string") == F.col("v"), "left_anti")
+    if counted["n"] > skipped:
         w = new.hint("rebalance", column)
         w = w.sortWithinPartitions(*sort) if sort else w
         w.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(column).parquet(path)
-    return {"written": len(values - skipped), "skipped": len(skipped)}
-
-
-def refuse_existing(*paths: str) -> None:
-    """``FileExistsError`` if any of the paths is there."""
-    for p in paths:
-        if Path(p).exists():
-            raise FileExistsError(p)
-
-
-def require_existing(*paths: str) -> None:
-    """``FileNotFoundError`` if any of the paths isn't there."""
-    for p in paths:
-        if not Path(p).exists():
-            raise FileNotFoundError(p)
-
-
-def write_json(path: str, payload: object) -> None:
-    """JSON with sorted keys, indented, with a newline at its end."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(payload, indent=2, sort_keys=True, default=str) + "\n", encoding="utf-8")
+    return {"written": counted["n"] - skipped, "skipped": skipped}
 
 
 def markdown_table(rows: list[dict], columns: list[str]) -> str:
