@@ -146,13 +146,15 @@ def display_candidates(names: Column | str, symbol: Column | str, *, hints: Colu
 
 def page_candidates(html: Column | str, current: str, former: str, row: str, scores: tuple[int, int, int] = (95, 94, 92)) -> Column:
     """``array<struct<name, cik, source, score>>`` of a company search page: the current and the former names of a
-    company's page (patterns that capture name and number), and the rows of a list (number, then name)."""
+    company's page (patterns that capture name and number), and the rows of a list (number, then name).
+    Names come as the page spells them: take the page through ``plain_text`` of its entities first."""
     h = F.coalesce(_c(html), F.lit(""))
-    parts = []
-    for source, pattern, score, (n, k) in (("page_current", current, scores[0], (1, 2)), ("page_former", former, scores[1], (1, 2)), ("page_row", row, scores[2], (2, 1))):
-        both = F.arrays_zip(F.regexp_extract_all(h, F.lit(pattern), F.lit(n)).alias("name"), F.regexp_extract_all(h, F.lit(pattern), F.lit(k)).alias("cik"))
-        parts.append(F.transform(both, lambda x, source=source, score=score: F.struct(markup.plain_text(x["name"]).alias("name"), F.lpad(x["cik"], 10, "0").alias("cik"), F.lit(source).alias("source"), F.lit(score).alias("score"))))
-    return F.concat(*parts)
+
+    def part(source: str, pattern: str, score: int, name: int, cik: int) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all(h, F.lit(pattern), F.lit(name)).alias("name"), F.regexp_extract_all(h, F.lit(pattern), F.lit(cik)).alias("cik"))
+        return F.transform(both, lambda x: F.struct(F.trim(x["name"]).alias("name"), F.lpad(x["cik"], 10, "0").alias("cik"), F.lit(source).alias("source"), F.lit(score).alias("score")))
+
+    return F.concat(part("page_current", current, scores[0], 1, 2), part("page_former", former, scores[1], 1, 2), part("page_row", row, scores[2], 2, 1))
 
 
 def evidence(df: DataFrame, keep: list[str], *, contexts: str, mentioned: str, extra: list[str] = ()) -> DataFrame:
