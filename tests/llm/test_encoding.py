@@ -61,6 +61,16 @@ def test_lost():
     assert repair("complaint�a point") == (True, "complaint�a point", False)
 
 
+@pytest.mark.parametrize("encoding", ["gbk", "cp932", "big5"])
+@pytest.mark.parametrize("text", ["It’s a move", "priced at 5 – 6", "“Yes”, he said"])
+def test_single_marks_read_as_east_asian(text, encoding):
+    try:
+        bad = text.encode().decode(encoding)
+    except UnicodeDecodeError:
+        pytest.skip("not readable that way")
+    assert repair(bad) == (True, text, True)
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, sloppy(FRENCH, "cp1252"), 0), (2, FRENCH, 0), (3, None, 0), (4, "", 0), (5, sloppy(FRENCH, "cp1252"), 0)], "doc_id bigint, text string, restored int")
     assert sorted(tuple(r) for r in repaired(df).collect()) == [(1, FRENCH, True), (5, FRENCH, True)]

@@ -45,6 +45,12 @@ def test_label_model_learns():
     assert ((m.posterior(votes) > 0.5) == truth).mean() > best - 0.02
     assert m.correlation[1, 2] > 0.9 and m.correlation[0, 3] < 0.2
     assert abs(m.prior - 0.3) < 0.06
+    # Confidences are what they say: among pairs given p a share p is true.
+    p = m.posterior(votes)
+    for lo, hi in ((0.0, 0.1), (0.1, 0.5), (0.5, 0.9), (0.9, 1.01)):
+        here = (p >= lo) & (p < hi)
+        if here.sum() > 200:
+            assert abs(p[here].mean() - truth[here].mean()) < 0.08
 
 
 PARTY = "party_id bigint, name string, ticker string, underlying_symbol string, firm_id string, cik string, g int"

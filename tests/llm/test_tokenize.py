@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -41,3 +42,10 @@ def test_rows(spark, library):
     got = {r.doc_id: list(r.ids) for r in encode_ids(df, PATH).collect()}
     assert got == {0: [], 1: [], 2: library([t[2]])[0], 3: library([t[3]])[0], 4: library([t[3]])[0]}
     assert encode_ids(df.limit(0), PATH).count() == 0
+
+
+def test_a_normalizer_is_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8")) | {"normalizer": {"type": "NFC"}}
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        ByteBPE(str(tmp_path / "t.json"))

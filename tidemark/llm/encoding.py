@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,25 +101,33 @@ def _two(c: str, encoding: str) -> bytes:
         return b"\xff"
 
 
+# The marks by which a few bytes of UTF-8 read as a two-byte encoding are told in western text.
+_MARKS = set("‘’“”–—…•€£™")
+
+
 def _spans_two(text: str, encoding: str, least: int = 9) -> list[tuple[int, int, str]]:
     """Spans in texts of two-byte encodings, of ``least`` bytes at least: shorter ones arise by chance.
 
-    A span starts and ends at whole characters; the bytes of one at its edge that don't fit
-    are gone and read as a replacement character.
+    A shorter one counts if it is nothing but marks, follows a plain letter or sign and ends
+    with one. A span starts and ends at whole characters; of one at its edge that doesn't fit,
+    a plain second byte is a character of its own, other bytes are gone and read as a
+    replacement character.
     """
     raw = [_two(c, encoding) if ord(c) > 127 else c.encode() for c in text]
+    start = [0, *accumulate(map(len, raw))]
     at = [i for i, b in enumerate(raw) for _ in b]
     whole = b"".join(raw).decode("latin-1")
     out = []
     for m in SPAN.finditer(whole):
-        if m.end() - m.start() < least:
-            continue
         new = m.group().encode("latin-1").decode("utf-8")
         if not all(_PLAUSIBLE.match(c) for c in new):
             continue
         a, b = at[m.start()], at[m.end() - 1] + 1
-        lost = (m.start() > 0 and at[m.start() - 1] == a, m.end() < len(whole) and at[m.end()] == b - 1)
-        out.append((a, b, "�" * lost[0] + new + "�" * lost[1]))
+        head, tail = whole[start[a] : m.start()], whole[m.end() : start[b]]
+        plain = not head and tail.isascii()
+        if m.end() - m.start() < least and not (plain and set(new) <= _MARKS and (a == 0 or text[a - 1].isascii())):
+            continue
+        out.append((a, b, "�" * bool(head) + new + (tail if tail.isascii() else "�")))
     return out
 
 

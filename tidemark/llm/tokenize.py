@@ -36,6 +36,8 @@ class ByteBPE:
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
+        if spec.get("normalizer"):
+            raise ValueError("tokenizers with a normalizer aren't read")
         vocab, letters = spec["model"]["vocab"], _byte_letters()
         self.first = np.zeros(256, np.int64)
         for c, b in letters.items():
