@@ -95,7 +95,7 @@ def test_keys(spark):
     df = spark.createDataFrame([(" brk/b ", "CIK0000703500", "012345.0"), ("x-y", " 994129", "7"), (None, None, None), ("", "000", "n/a"), ("\t", "123456789012", "")], "s string, c string, g string")
     rows = [tuple(r) for r in df.select(K.symbol("s"), K.cik10("c"), K.gvkey("g")).collect()]
     assert rows[:3] == [("BRK.B", "0000703500", "12345"), ("X.Y", "0000994129", "7"), (None, None, None)]
-    assert rows[3][1:] == (None, None) and rows[4][1:] == (None, None)
+    assert rows[3][1:] == (None, None) and rows[4][1:] == ("123456789012", None)  # padding never cuts
 
 
 def test_quotes_and_keys_with_nulls(spark):
@@ -135,4 +135,5 @@ def test_study(spark):
     s = study(df, entity=["e"], day=F.col("d"), event=F.lit(date(2024, 1, 11)), sums={"x": F.col("v")}, metrics=[abnormal.Metric("x", "z")], spans={"estimation": (-8, -3), "pre_event": (-2, -1), "announcement": (0, 1)})
     got = {r.e: r.z_pre_event for r in s.collect()}
     assert got["a"] > got["b"] + 2
-    assert windows.date_map(df.select("d"), "d", F.lit(date(1999, 1, 1))).count() == 0
+    with pytest.raises(ValueError):  # a missing event day isn't passed over
+        windows.date_map(df.select("d"), "d", F.lit(date(1999, 1, 1)))

@@ -45,4 +45,4 @@ def as_of_join(events: DataFrame, changes: DataFrame, *, event_entity: str, even
     )
     buckets = spans.where("start < end").withColumn("bucket", F.explode(F.sequence(cut(F.col("start")), cut(F.col("end") - 1))))
     met = (F.col("who") == F.col("entity")) & (F.col("at") == F.col("bucket")) & (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))
-    return asked.withColumn("at", cut(F.col("t"))).join(buckets, met).select(*(F.col(f"row.`{c}`") for c in kept), F.col("value").alias(out))
+    return asked.withColumn("at", cut(F.col("t"))).join(buckets.hint("merge"), met).select(*(F.col(f"row.`{c}`") for c in kept), F.col("value").alias(out))

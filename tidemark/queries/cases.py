@@ -1,7 +1,7 @@
 """Queries of the option rows of one event, end to end over the domain tables, each with its SQL.
 
 The event of these queries is made of the data: the symbol with the most rows is the focal
-one, the middle of its quote dates the event's day, its three calls of most volume in the
+one, the middle of its quote dates that the daily table has is the event's day, its three calls of most volume in the
 windows are the listed contracts.
 """
 
@@ -42,7 +42,7 @@ _FRAME = f"""frame AS (
     FROM options_eod_summary)"""
 _CASE = f"""{_FRAME},
     focal AS (SELECT underlying_symbol AS f FROM frame WHERE underlying_symbol IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
-    fd AS (SELECT quote_date, row_number() OVER (ORDER BY quote_date) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT quote_date FROM frame WHERE underlying_symbol = (SELECT f FROM focal))),
+    fd AS (SELECT quote_date, row_number() OVER (ORDER BY quote_date) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT quote_date FROM frame WHERE underlying_symbol = (SELECT f FROM focal) AND quote_date IN (SELECT quote_date FROM underlying_daily))),
     dn AS (SELECT d, row_number() OVER (ORDER BY d) AS n, lead(d) OVER (ORDER BY d) AS next_day FROM (SELECT DISTINCT quote_date AS d FROM underlying_daily WHERE quote_date IS NOT NULL)),
     map AS (SELECT d AS quote_date, CAST(n - (SELECT n FROM dn WHERE d = (SELECT quote_date FROM fd WHERE rn = n // 2 + 1)) AS BIGINT) AS relative_day, next_day FROM dn),
     win AS (SELECT frame.*, relative_day, next_day FROM frame JOIN map USING (quote_date) WHERE relative_day BETWEEN -15 AND 1),
@@ -71,7 +71,7 @@ def _case(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
     """Frame, date map and focal symbol; of the data one symbol and its middle day reach the driver."""
     f = _frame(spark, d)
     focal = f.where("underlying_symbol is not null").groupBy("underlying_symbol").count().orderBy(F.desc("count"), "underlying_symbol").first()[0]
-    days = f.where(F.col("underlying_symbol") == focal).select("quote_date").distinct()
+    days = f.where(F.col("underlying_symbol") == focal).select("quote_date").distinct().join(_days(spark, d), "quote_date", "left_semi")
     n = days.count()
     event = days.orderBy("quote_date").limit(n // 2 + 1).agg(F.max("quote_date")).first()[0]
     return f, windows.date_map(_days(spark, d), "quote_date", F.lit(event), SPANS), focal

@@ -249,3 +249,26 @@ def symbol_companies(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "company_lookup", "ticker", "cik", "name").select(K.symbol("ticker").alias("symbol"), K.cik10("cik").alias("cik"), "name").where("symbol is not null").distinct()
     s = entities.symbol_universe(u, "underlying_symbol", "quote_date", "2012-01-01", "2016-12-31")
     return entities.matched_and_not(s, c, "symbol")
+
+
+@query(f"""WITH {_CLASSED}, x AS (SELECT judged.*, CASE WHEN {_PAIR} IS NOT NULL THEN {_clean(f"regexp_extract(text, '{PARTY[0]}', 1)")} END AS target, {_PAIR} AS acquirer FROM judged)
+    SELECT doc_id, accession_number, form, score, is_candidate, is_side OR (target IS NOT NULL AND acquirer IS NOT NULL) AS is_side, kind, target, acquirer, {_slug('acquirer')} AS acquirer_slug,
+        CASE WHEN len(strong) + len(supporting) > 0 THEN true ELSE false END AS has_labels, underlying_symbol FROM x""")
+def filing_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their class, parties and keys in one wide row; parties told on both sides tell the side too."""
+    t = _classified(spark, d, "accession_number").withColumn("p", markup.parties("text", PARTY, STOPS))
+    form = F.coalesce(F.create_map(*[F.lit(x) for kv in FORMS.items() for x in kv])[F.col("source")], F.lit(""))
+    return t.select(
+        "doc_id", "accession_number", form.alias("form"), "score", "is_candidate", (F.col("is_side") | F.col("p").isNotNull()).alias("is_side"), "kind", F.col("p.first").alias("target"), F.col("p.second").alias("acquirer"),
+        K.slug("p.second").alias("acquirer_slug"), (F.size("strong") + F.size("supporting") > 0).alias("has_labels"), "underlying_symbol",
+    )
+
+
+@query("""SELECT DISTINCT a.event_id, a.event_trading_date AS day FROM event_alignment a JOIN (SELECT DISTINCT filing_date AS day FROM deal_party WHERE filing_date IS NOT NULL) f ON a.event_trading_date = f.day OR CAST(a.received_at AS DATE) = f.day""")
+def disclosed_on(spark: SparkSession, d: str) -> DataFrame:
+    """Events that trade or were received on a day of a filing: either date may meet."""
+    e = table(spark, d, "event_alignment", "event_id", "event_trading_date", "received_at")
+    days = table(spark, d, "deal_party", "filing_date").where("filing_date is not null").distinct()
+    # Either date as a row of its own, so that the join is an equi-join.
+    either = e.select("event_id", F.col("event_trading_date").alias("day"), F.explode(F.array_distinct(F.array("event_trading_date", F.to_date("received_at")))).alias("filing_date"))
+    return either.join(days, "filing_date", "left_semi").select("event_id", "day").distinct()

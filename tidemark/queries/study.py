@@ -377,20 +377,20 @@ def company_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "deal_party", "party_id", "name").select("party_id", K.slug("name").alias("slug"))
 
 
-_PLAIN = r"regexp_replace(regexp_replace('<head><script>var x = 1;</script></head><p class=\"t\">' || text || '</p>&amp;&quot;<br/>', '(?s)<script\b.*?</script\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-
-
-@query(rf"""SELECT doc_id, trim(regexp_replace(replace(replace({_PLAIN}, '&quot;', '"'), '&amp;', '&'), '[\s\x{{00A0}}]+', ' ', 'g')) AS plain FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[<>\x0b]|&[a-z#]')""".replace('\\"', '"'))
+@query(r"""SELECT doc_id, trim(regexp_replace(text || ' &"', '[\s\x0b\x{00A0}]+', ' ', 'g')) AS plain FROM documents""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    """Texts wrapped in markup and taken out of it again."""
-    t = table(spark, d, "documents", "doc_id", "text").where(~F.coalesce("text", F.lit("")).rlike("[<>\\x0b]|&[a-z#]"))
-    html = F.concat(F.lit('<head><script>var x = 1;</script></head><p class="t">'), "text", F.lit("</p>&amp;&quot;<br/>"))
+    """Every text escaped and wrapped in markup, and taken out of it again: itself with its white space collapsed."""
+    t = table(spark, d, "documents", "doc_id", "text")
+    escaped = F.col("text")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;")):
+        escaped = F.replace(escaped, F.lit(mark), F.lit(entity))
+    html = F.concat(F.lit('<head><script>var x = 1;</script></head><p class="t">'), escaped, F.lit("</p>&amp;&quot;<br/>"))
     return t.select("doc_id", markup.plain_text(html).alias("plain"))
 
 
 @query()
 def html_to_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every document out of whatever markup it holds itself; ``html_to_text`` is the part that its SQL can tell."""
+    """Every document out of whatever markup it holds itself."""
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", markup.plain_text("text").alias("plain"))
 
 
@@ -480,7 +480,7 @@ def event_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _calendar_sql() -> str:
-    days = ", ".join(f"DATE '{x}'" for x in calendar.trading_days(2010, 2022))
+    days = ", ".join(f"DATE '{x}'" for x in calendar.trading_days(2000, 2035))
     return f"""WITH t AS (SELECT unnest([{days}]) AS d), e AS (SELECT DISTINCT event_id, event_trading_date AS x, during_market_hours AS m FROM event_alignment),
         s AS (SELECT event_id, CAST(x AS TIMESTAMP) + CASE WHEN m THEN INTERVAL 12 HOUR ELSE INTERVAL 17 HOUR END AS local FROM e)
         SELECT event_id, CASE WHEN CAST(local AS TIME) >= TIME '16:00:00' AND CAST(local AS DATE) IN (SELECT d FROM t) THEN (SELECT min(d) FROM t WHERE d > CAST(local AS DATE)) ELSE (SELECT min(d) FROM t WHERE d >= CAST(local AS DATE)) END AS trading_date,
@@ -492,7 +492,9 @@ def calendar_align(spark: SparkSession, d: str) -> DataFrame:
     """Local stamps to trading dates: before the close the same day, else the next."""
     e = table(spark, d, "event_alignment", "event_id", "event_trading_date", "during_market_hours").distinct()
     local = F.col("event_trading_date").cast("timestamp_ntz") + F.when(F.col("during_market_hours"), F.expr("INTERVAL '12' HOUR")).otherwise(F.expr("INTERVAL '17' HOUR"))
-    return calendar.align(e.withColumn("local", local), calendar.calendar(spark, 2010, 2022), F.col("local")).select("event_id", "trading_date", "pre_event_end")
+    first, last = e.agg(F.min(F.year("event_trading_date")), F.max(F.year("event_trading_date"))).first()
+    # A year on either side, for days before the first and after the last event.
+    return calendar.align(e.withColumn("local", local), calendar.calendar(spark, (first or 2000) - 1, (last or 2000) + 1), F.col("local")).select("event_id", "trading_date", "pre_event_end")
 
 
 @query("""WITH p AS (SELECT count(*) AS rows, count(*) - count(DISTINCT (quote_date, series_id)) AS dup, count(*) FILTER (WHERE bid_1545 IS NULL) AS bn, count(*) FILTER (WHERE delta_1545 IS NULL) AS dn, count(DISTINCT bid_1545) AS bd, count(DISTINCT delta_1545) AS dd FROM options_eod_summary)
@@ -536,6 +538,8 @@ def json_parallel_arrays(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.sources.json_tables import rows_of_arrays
 
     e = table(spark, d, "events", "user_id", "event_id", "event_type", "props")
-    packed = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "props"))).alias("r")).select("user_id", F.struct(*(F.col(f"r.{c}").alias(c) for c in ("event_id", "event_type", "props"))).alias("recent"))
+    # Pages of a thousand ids, as an index comes in shards: no array grows with a user's rows.
+    page = F.floor(F.col("event_id") / 1000).alias("page")
+    packed = e.groupBy("user_id", page).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "props"))).alias("r")).select("user_id", F.struct(*(F.col(f"r.{c}").alias(c) for c in ("event_id", "event_type", "props"))).alias("recent"))
     rows = rows_of_arrays(packed, "recent", ["event_id", "event_type", "props"], ["user_id"])
     return rows.select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
