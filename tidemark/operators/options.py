@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import quotes
 from tidemark.functions import text_keys as K
-from tidemark.operators.panel import lead_change
+from tidemark.operators.panel import collapse, lead_change
 
 # Long forms of the option types, the columns a frame can't do without, and those that show calculations.
 TYPES = {"CALL": "C", "PUT": "P"}
@@ -53,6 +53,23 @@ def option_frame(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in new), *(c.alias(n) for n, c in new.items()))
 
 
+# What a firm-day keeps of its option rows.
+FIRM_DAY = ("underlying_bid_1545", "underlying_ask_1545", "s_1545", "underlying_bid_eod", "underlying_ask_eod", "s_eod")
+FIRM_DAY_FIRST = ("implied_underlying_price_1545", "active_underlying_price_1545")
+FIRM_DAY_FLAGS = ("has_valid_underlying_1545_quote", "has_valid_underlying_eod_quote")
+
+
+def firm_days(frame: DataFrame, order: list[str]) -> DataFrame:
+    """One row per day and symbol of an option frame: first prices in the declared order, validity, and how
+    many distinct prices and snapshots of prices the day has. Columns the frame lacks count as null."""
+    kinds = {**dict.fromkeys((*FIRM_DAY, *FIRM_DAY_FIRST), "double"), **dict.fromkeys(FIRM_DAY_FLAGS, "boolean")}
+    whole = frame.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in frame.columns})
+    return collapse(
+        whole.select("quote_date", "underlying_symbol", *order, *kinds), ["quote_date", "underlying_symbol"], order, first=[*FIRM_DAY, *FIRM_DAY_FIRST], flags=list(FIRM_DAY_FLAGS), distinct=list(FIRM_DAY),
+        snapshots={"snapshot_1545": ["underlying_bid_1545", "underlying_ask_1545"], "snapshot_eod": ["underlying_bid_eod", "underlying_ask_eod", "s_eod"]}, count="option_series_count",
+    )
+
+
 def option_slice(df: DataFrame, symbols: list[str], days: list[date]) -> DataFrame:
     """The rows of stated symbols on stated days: both lists reach the scan, days as partition filters where the table has them."""
     return df.where(F.col("quote_date").isin(*days) & F.col("underlying_symbol").isin(*symbols)) if symbols and days else df.limit(0)

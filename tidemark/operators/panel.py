@@ -16,17 +16,22 @@ def collapse(df: DataFrame, keys: list[str], order: list[str], *, first: list[st
 
     ``snapshots`` counts distinct structs, in which nulls count as values; ``distinct``
     leaves nulls out. More than one distinct value or snapshot sets ``<name>_inconsistent``.
-    A flag without any true value is false. Distinct values are told apart before they are
-    counted, in partial aggregates, so a busy key holds no set of them in one task.
+    A flag without any true value is false. Rows are first reduced, within tasks, to the
+    combinations of values that are told apart, of which a key mostly has few; only these
+    are counted, so neither sets of values nor copies of rows are ever held or shuffled.
     """
+    snapshots = snapshots or {}
     at = F.struct(*order)
-    aggs = [F.count("*").alias(count)]
-    aggs += [first_present(c, at).alias(c) for c in first]
-    aggs += [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags]
+    wide = list(dict.fromkeys([*distinct, *(c for cs in snapshots.values() for c in cs)]))
+    other = [c for c in first if c not in wide]
+    seen = [F.min(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v")))).alias(f"_f_{c}") for c in other]
+    few = df.groupBy(*keys, *wide).agg(F.count("*").alias("_n"), F.min(at).alias("_at"), *seen, *(F.bool_or(c).alias(f"_b_{c}") for c in flags))
+    aggs = [F.sum("_n").alias(count)]
+    aggs += [(F.min(f"_f_{c}")["v"] if c in other else first_present(c, F.col("_at"))).alias(c) for c in first]
+    aggs += [F.coalesce(F.bool_or(f"_b_{c}"), F.lit(False)).alias(c) for c in flags]
     aggs += [F.countDistinct(c).alias(f"{c}_n") for c in distinct]
-    snapshots = snapshots or {}
     aggs += [F.countDistinct(F.struct(*cs)).alias(f"{n}_n") for n, cs in snapshots.items()]
-    out = df.groupBy(*keys).agg(*aggs)
+    out = few.groupBy(*keys).agg(*aggs) if wide else few.select(*keys, F.col("_n").alias(count), *(F.col(f"_f_{c}.v").alias(c) for c in first), *(F.coalesce(f"_b_{c}", F.lit(False)).alias(c) for c in flags))
     return out.select("*", *((F.col(f"{n}_n") > 1).alias(f"{n}_inconsistent") for n in [*distinct, *snapshots]))
 
 

@@ -93,6 +93,21 @@ def option_frame(spark: SparkSession, d: str) -> DataFrame:
     return _frame(spark, d).select("row_id", "underlying_symbol", "root", "option_type", "has_valid_1545_quote", "has_valid_underlying_1545_quote", r("mid_1545"), r("rel_spread_1545"), r("s_1545"), "has_calcs", "dte_cal", "series_id", "has_valid_eod_quote", "mid_eod")
 
 
+_DAY_FIRST = ", ".join(f"arg_min({c}, row_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("underlying_bid_1545", "underlying_ask_1545", "s_1545", "implied_underlying_price_1545", "active_underlying_price_1545"))
+_DAY_N = ", ".join(f"count(DISTINCT {c}) AS {c}_n, count(DISTINCT {c}) > 1 AS {c}_inconsistent" for c in ("underlying_bid_1545", "underlying_ask_1545", "s_1545"))
+
+
+@query(f"""WITH {_FRAME}, o AS (SELECT row_id, frame.quote_date, frame.underlying_symbol, frame.s_1545, has_valid_underlying_1545_quote, r.underlying_bid_1545, r.underlying_ask_1545, r.implied_underlying_price_1545, r.active_underlying_price_1545
+        FROM frame JOIN (SELECT row_id, underlying_bid_1545, underlying_ask_1545, implied_underlying_price_1545, active_underlying_price_1545 FROM options_eod_summary) r USING (row_id))
+    SELECT quote_date, underlying_symbol, count(*) AS option_series_count, {_DAY_FIRST}, coalesce(bool_or(has_valid_underlying_1545_quote), false) AS has_valid_underlying_1545_quote, {_DAY_N},
+        count(DISTINCT {{'a': underlying_bid_1545, 'b': underlying_ask_1545}}) AS snapshot_1545_n, count(DISTINCT {{'a': underlying_bid_1545, 'b': underlying_ask_1545}}) > 1 AS snapshot_1545_inconsistent, CAST(NULL AS DOUBLE) AS s_eod, CAST(1 AS BIGINT) AS snapshot_eod_n
+    FROM o GROUP BY 1, 2""")
+def firm_days(spark: SparkSession, d: str) -> DataFrame:
+    """Firms' days with first prices, validity and whether the day's rows agree."""
+    f = options.firm_days(_frame(spark, d), ["row_id"])
+    return f.drop(*(c for c in f.columns if "_eod" in c and c not in ("s_eod", "snapshot_eod_n")), "s_eod_n", "s_eod_inconsistent")
+
+
 @query(f"""WITH {_CASE} SELECT row_id, quote_date, underlying_symbol FROM frame WHERE underlying_symbol = (SELECT f FROM focal) AND quote_date IN (SELECT quote_date FROM map WHERE relative_day BETWEEN -15 AND 1)""")
 def option_slice(spark: SparkSession, d: str) -> DataFrame:
     """The focal symbol's rows on the days of the windows."""
