@@ -81,13 +81,6 @@ def header_field(c: Column | str, section: str, field: str, end: str = "</SEC-HE
     return F.nullif(F.trim(F.regexp_extract(head, rf"(?ms)^\s*{section}:.*?^\s*{field}:\s*([^\n]*)", 1)), F.lit(""))
 
 
-def distinct_captures(c: Column | str, patterns: tuple[str, ...]) -> Column:
-    """All first captures of all patterns, trimmed, once each and sorted."""
-    c = F.col(c) if isinstance(c, str) else c
-    every = F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in patterns)))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x != "")))
-
-
 def display_names(c: Column | str) -> Column:
     """``array<struct<name, ticker, cik>>`` of texts like ``VARIAN INC (VAR) (CIK 0001012345)``; parts that miss are null."""
     c = F.col(c) if isinstance(c, str) else c

@@ -59,11 +59,6 @@ def first_clear(evidence: DataFrame, query: str, step: str, candidate: str, scor
     return first.select(query, "w.*")
 
 
-def take_first(df: DataFrame, out: str, options: list[Column]) -> DataFrame:
-    """``out``: the first of several structs that is there - as parties of a deal are told by the best source that names them."""
-    return df.withColumn(out, F.coalesce(*options))
-
-
 def symbol_universe(df: DataFrame, symbol: str, day: str, first: str, last: str, only: list[str] | None = None) -> DataFrame:
     """``symbol``: the distinct symbols of rows from the first to the last day, or of them those asked for; both filters reach the scan."""
     rows = df.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")) & F.col(symbol).isNotNull())

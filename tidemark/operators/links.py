@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.operators.panel import first_present
 
 
-def first_column(df: DataFrame, aliases: list[str], kind: str) -> Column:
-    """The first of the aliases that is a column, cast leniently; null where none is."""
-    have = {c.lower(): c for c in df.columns}
-    found = next((have[a] for a in aliases if a in have), None)
-    return F.lit(None).cast(kind) if found is None else F.col(found).try_cast(kind)
-
-
 def both_ways(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Each link also with its sides swapped, in one pass over the rows."""
     swap = {**pairs, **{v: k for k, v in pairs.items()}}
