@@ -25,16 +25,26 @@ PANEL = tuple(
 )
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of both tables whose quote or close no market gave."""
+def _implausible(spark: SparkSession, d: str) -> DataFrame:
+    """``source_table, row_id, reason`` of both tables."""
     o = table(spark, d, "options_eod_summary", "row_id", "quote_date", "series_id", "bid_1545", "ask_1545")
     u = table(spark, d, "underlying_daily", "row_id", "quote_date", "underlying_symbol", "s_eod")
     u = u.withColumn("underlying_symbol", K.symbol("underlying_symbol"))
     # A series has some twenty dates: what no quote of the table moves by chance is told by all of them.
     quotes = spikes.implausible(o, source="series_id", day="quote_date", row_id="row_id", readings=("bid_1545", "ask_1545"), zero_ok=(True, False), crossed=True, alpha=0.05, chance=5e-6)
     closes = spikes.implausible(u, source="underlying_symbol", day="quote_date", row_id="row_id", readings=("s_eod",), zero_ok=(False,))
-    named = lambda df, name: df.select(F.lit(name).alias("source_table"), "row_id")
-    return named(quotes, "options_eod_summary").unionAll(named(closes, "underlying_daily")).distinct()
+    named = lambda df, name: df.select(F.lit(name).alias("source_table"), "row_id", "reason")
+    return named(quotes, "options_eod_summary").unionAll(named(closes, "underlying_daily"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of both tables whose quote or close no market gave."""
+    return _implausible(spark, d).select("source_table", "row_id").distinct()
+
+
+def p2_ranges_and_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Of those rows the ones that SQL can tell too: readings out of range and constant runs."""
+    return _implausible(spark, d).where("reason <> 'spike'").distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,11 +98,29 @@ def p7_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("key").alias("underlying_symbol"), F.col("n").alias("n_rows"), "volume", F.round("median_mid", 6).alias("median_mid"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_table, p7_found, p7_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranges_and_runs, p3_found, p5_found, p6_found, p6_table, p7_found, p7_stats)}
 
 _SYMBOL = "translate(upper(trim(underlying_symbol)), '/-', '..')"
 _GVKEY = "nullif(regexp_extract(trim(source_gvkey), '^\\D*0*(\\d+)(?:\\.0*)?$', 1), '')"
+
+
+def _runs_sql(name: str, rows: str, values: list[str]) -> str:
+    """Constant runs of five or more successive dates present, from the second on, of rows (row_id, s, d, values)."""
+    v = ", ".join(values)
+    same = " AND ".join(f"r.{x} = o.{x}" for x in values)
+    return f"""SELECT '{name}' AS source_table, o.row_id, 'constant' AS reason FROM {rows} o JOIN {rows}_days y USING (s, d) JOIN (
+        SELECT s, {v}, g, min(i) AS f, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY s, {v} ORDER BY i) AS g FROM (SELECT DISTINCT s, i, {v} FROM {rows} JOIN {rows}_days USING (s, d) WHERE {' AND '.join(f'{x} IS NOT NULL' for x in values)}))
+        GROUP BY ALL HAVING count(*) >= 5) r ON r.s = o.s AND {same} AND y.i > r.f AND y.i < r.f + r.n"""
+
+
+_DAYS = "{0}_days AS (SELECT s, d, dense_rank() OVER (PARTITION BY s ORDER BY d) AS i FROM (SELECT DISTINCT s, d FROM {0}))"
 SQL = {
+    "p2_ranges_and_runs": f"""
+        WITH o AS (SELECT row_id, series_id AS s, quote_date AS d, bid_1545 AS b, ask_1545 AS a FROM options_eod_summary WHERE series_id IS NOT NULL AND quote_date IS NOT NULL),
+        u AS (SELECT row_id, {_SYMBOL} AS s, quote_date AS d, s_eod AS x FROM underlying_daily WHERE underlying_symbol IS NOT NULL AND quote_date IS NOT NULL), {_DAYS.format('o')}, {_DAYS.format('u')}
+        SELECT 'options_eod_summary' AS source_table, row_id, 'range' AS reason FROM o WHERE b < 0 OR a <= 0 OR a < b
+        UNION SELECT 'underlying_daily', row_id, 'range' FROM u WHERE x <= 0
+        UNION {_runs_sql('options_eod_summary', 'o', ['b', 'a'])} UNION {_runs_sql('underlying_daily', 'u', ['x'])}""",
     "p5_found": f"""
         WITH e AS (SELECT DISTINCT event_id, source_firm_id, event_trading_date, link_year FROM event_alignment),
         b AS (SELECT e.event_id, arg_max(g.bridge_id, g.evidence_date) AS bridge_id, arg_max(g.gvkey, g.evidence_date) AS gvkey,
