@@ -86,19 +86,19 @@ def votes_of(party: DataFrame, named: DataFrame, tickers: DataFrame, firms: Data
     ``sources`` all g. Each code is looked up among all codes of all sources by one join.
     """
     # Of a number or a firm the frequency says nothing; of the other codes it does.
-    rows = lambda x, kind, main: x.select("g", F.concat(F.lit(kind + ":"), "v").alias("code"), main.alias("main"), F.lit(kind == "f").alias("firm"))
-    theirs = rows(tickers, "x", F.col("main")).unionAll(rows(firms, "x", F.col("main"))).groupBy("g", "code").agg(F.max("main").alias("main"))
-    theirs = theirs.join(rows(firms, "x", F.lit(True)).select("g", "code", F.lit(True).alias("firm")).distinct().hint("merge"), ["g", "code"], "left")
-    theirs = theirs.unionByName(rows(numbers, "c", F.lit(True)).select("g", "code", "main", F.lit(None).cast("boolean").alias("firm")))
+    rows = lambda x, kind, main, firm: x.select("g", F.concat(F.lit(kind + ":"), "v").alias("code"), main.alias("main"), F.lit(firm).alias("firm"))
+    yes = F.lit(True)
+    theirs = rows(tickers, "x", F.col("main"), False).unionAll(rows(firms, "x", yes, True)).unionAll(rows(numbers, "c", yes, False))
+    theirs = theirs.groupBy("g", "code").agg(F.max("main").alias("main"), F.bool_or("firm").alias("firm"))
     codes = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(v).alias("voter"), F.concat(F.lit("c:" if c == "c" else "x:"), F.col(c)).alias("code"))) for v, c in CODED.items()))
     mine = party.select("aid", F.explode(F.array_compact(codes)).alias("m")).select("aid", "m.*")
     level = F.when(F.col("voter") == "firm", F.when(F.col("firm"), 2)).otherwise(F.when(F.col("main"), 2).otherwise(3))
     hits = mine.join(theirs.hint("merge"), "code").select("aid", "g", *(F.when(F.col("voter") == v, level).otherwise(F.lit(None)).alias(v) for v in CODED), F.lit(0).alias("name"), F.lit(0).alias("legal"))
     by_name = party.select("aid", "nid").join(named.hint("merge"), "nid").select("aid", "g", *(F.lit(None).cast("int").alias(v) for v in CODED), "name", "legal")
     both = hits.unionByName(by_name).groupBy("aid", "g").agg(*(F.max(v).alias(v) for v in (*CODED, "name", "legal")))
-    any_code = tickers.select("g").unionAll(firms.select("g"))
-    for n, x in (("has_x", any_code), ("has_f", firms), ("has_c", numbers)):
-        sources = sources.join(x.select("g").distinct().withColumn(n, F.lit(True)).hint("merge"), "g", "left")
+    has = lambda x, *kinds: x.select("g", *(F.lit(n in kinds).alias(n) for n in ("has_name", "has_x", "has_f", "has_c")))
+    every = sources.select("g", "has_name", *(F.lit(False).alias(n) for n in ("has_x", "has_f", "has_c"))).unionAll(has(tickers, "has_x")).unionAll(has(firms, "has_x", "has_f")).unionAll(has(numbers, "has_c"))
+    sources = every.groupBy("g").agg(*(F.bool_or(n).alias(n) for n in ("has_name", "has_x", "has_f", "has_c")))
     told = both.join(party.select("aid", "nid", *CODED.values()).hint("merge"), "aid").join(sources.hint("merge"), "g")
     of = {"ticker": "has_x", "symbol": "has_x", "firm": "has_f", "cik": "has_c"}
     votes = [F.coalesce(v, F.when(F.col(c).isNotNull() & F.col(of[v]), 1).otherwise(0)).alias(v) for v, c in CODED.items()]

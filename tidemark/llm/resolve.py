@@ -66,11 +66,11 @@ def _best_form(scores: DataFrame) -> DataFrame:
     return scores.groupBy("nid", "id").agg(F.max(F.struct("score", (~F.col("partial")).alias("whole"))).alias("b")).select("nid", "id", "b.*")
 
 
-def _winners(scores: DataFrame, key: str) -> DataFrame:
-    """``key, id`` of the best score of each key, if it is one id's only."""
-    level = scores.groupBy(key, F.round("score", 9).alias("score")).agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    top = level.groupBy(key).agg(F.max_by(F.struct("id", "other"), "score").alias("w"))
-    return top.where("w.id = w.other").select(key, F.col("w.id").alias("id"))
+def _winners(scores: DataFrame, key: str, *carried: str) -> DataFrame:
+    """``key, id`` (and what is carried) of the best score of each key, if it is one id's only."""
+    level = scores.groupBy(key, F.round("score", 9).alias("score")).agg(F.min(F.struct("id", *carried)).alias("w"), F.max("id").alias("other"))
+    top = level.groupBy(key).agg(F.max_by(F.struct("w", "other"), "score").alias("t"))
+    return top.where("t.w.id = t.other").select(key, "t.w.*")
 
 
 def resolve(records: DataFrame, listed: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def resolve(records: DataFrame, listed: DataFrame) -> DataFrame:
         # A doubtful spelling of which the codes say something else is somebody else's.
         doubtful = (F.col("score") < SURE) & (other | (~F.col("whole") & (F.col("score") < 0.5))) & ~same
         fits = fits.where(~doubtful).select("rec", "nid", "t", "id", same.alias("same"), (F.col("score") + F.when(same, 0.2).otherwise(0.0)).alias("score"))
-        merged = materialise(_winners(fits, "rec").join(fits.hint("merge"), ["rec", "id"]).select("rec", "nid", "t", "id", "same"))
+        merged = materialise(_winners(fits, "rec", "nid", "t", "same"))
         done = merged if done is None else done.unionAll(merged)
         if merged.isEmpty():
             break
