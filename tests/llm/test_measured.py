@@ -92,3 +92,40 @@ def test_linked_parties(spark, n):
     # What is said with confidence is right as often as it says.
     sure = [truth.get(x) == g for x, g, q in got if q >= 0.95]
     assert len(sure) > len(got) / 2 and sum(sure) / len(sure) >= 0.95
+
+
+def test_variants_of_nobody_listed(spark):
+    from tidemark.llm.variants import merge_variants
+
+    rng = np.random.default_rng(11)
+    names = companies(rng, 120)
+    truth = {}
+    for i, x in enumerate(names):
+        for _ in range(4):
+            truth.setdefault(typed(rng, x), i)
+    rows = spark.createDataFrame([(x, 1) for x in [*truth, *list(truth)[:20]]] + [(None, 1), (" ", 1)], "name string, entity int")
+    got = {r.name: r.entity for r in merge_variants(rows).collect()}
+    assert set(got) == set(truth)
+    pairs = lambda of: {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
+    found, true = pairs(got), pairs(truth)
+    assert len(found & true) / len(found) >= 0.97, sorted(found - true)[:5]
+    assert len(found & true) / len(true) >= 0.7, sorted(true - found)[:5]
+    assert merge_variants(rows.limit(0)).count() == 0
+
+
+def test_labels_travel_along_chains(spark):
+    from tidemark.llm.variants import spread_labels
+
+    labels = spark.createDataFrame([(i, i) for i in range(40)], "nid bigint, label bigint")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(39, 30)], "a bigint, b bigint")
+    got = {r.nid: r.label for r in spread_labels(labels, edges).collect()}
+    assert got == {i: 0 if i <= 20 else 30 if i == 39 else i for i in range(40)}
+
+
+def test_richer_entities_meet_again(spark):
+    from tidemark.llm.variants import merge_variants
+
+    # The first and the last differ by two errors, and only by way of the second they are one.
+    rows = spark.createDataFrame([("Karvenolt Instruments Inc.",), ("Karvonolt Instruments Inc.",), ("Karvonoltt Instr. Inc.",), ("Karvenolt Foods Inc.",)], "name string")
+    got = {r.name: r.entity for r in merge_variants(rows).collect()}
+    assert len(set(got.values())) == 2 and got["Karvonoltt Instr. Inc."] == got["Karvenolt Instruments Inc."] != got["Karvenolt Foods Inc."]
