@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 
@@ -95,28 +96,57 @@ def _flooded(start: np.ndarray, left: np.ndarray, right: np.ndarray, columns: np
     return out / max(out.max(), 1e-9)
 
 
+class _Canonical(NamedTuple):
+    """The graph of the canonical schema: nodes and the edges to them."""
+
+    known: frozenset[str]
+    words: list[str]
+    to_words: np.ndarray
+    types: list[str]
+    to_types: np.ndarray
+    parents: list[str]
+    to_parents: np.ndarray
+    bare: np.ndarray
+
+
+def _heavy(w: str) -> float:
+    """Edges to words are lighter for words that say little."""
+    return 0.25 if w in EMPTY else 0.6 if w in ("date", "price", "code", "type") else 1.0
+
+
+def _bare(names: tuple[str, ...]) -> np.ndarray:
+    return np.array([re.sub(r"[\W_]", "", n).lower() for n in names], object)
+
+
+@lru_cache(maxsize=8)
+def _graph_of(canonical: tuple[tuple[str, str], ...]) -> _Canonical:
+    names = tuple(n for n, _ in canonical)
+    known = frozenset(w for n in names for w in words(n))
+    parts = [_parts(n, known) for n in names]
+    nodes, types, parents = sorted({w for p in parts for w in p}), sorted({t for _, t in canonical}), sorted(set(map(_parent, names)))
+    return _Canonical(
+        known, nodes, _points(parts, nodes) * np.array([_heavy(w) for w in nodes]), types, _points([(t,) for _, t in canonical], types),
+        parents, _points([(_parent(n),) for n in names], parents), _bare(names),
+    )
+
+
 @lru_cache(maxsize=1 << 15)
 def correspond(header: tuple[str, ...], types: tuple[str | None, ...], canonical: tuple[tuple[str, str], ...], least: float = 0.25) -> tuple[str | None, ...]:
     """The canonical column of each header column, or null where none fits. ``canonical`` holds names and types."""
-    known = frozenset(w for name, _ in canonical for w in words(name))
-    left = [_parts(h, known) for h in header]
-    right = [_parts(n, known) for n, _ in canonical]
-    lw, rw = sorted({w for p in left for w in p}), sorted({w for p in right for w in p})
+    c = _graph_of(canonical)
+    left = [_parts(h, c.known) for h in header]
+    lw, rw = sorted({w for p in left for w in p}), c.words
     if not lw or not rw:
         return tuple(None for _ in header)
-    # Edges column -> word, lighter for words that say little.
-    heavy = lambda w: 0.25 if w in EMPTY else 0.6 if w in ("date", "price", "code", "type") else 1.0
-    a = _points(left, lw) * np.array([heavy(w) for w in lw])
-    b = _points(right, rw) * np.array([heavy(w) for w in rw])
+    a, b = _points(left, lw) * np.array([_heavy(w) for w in lw]), c.to_words
     word0 = np.array([[word_score(x, y) for y in rw] for x in lw])
-    lt, rt = sorted({str(t) for t in types}), sorted({t for _, t in canonical})
-    ta, tb = _points([(str(t),) for t in types], lt), _points([(t,) for _, t in canonical], rt)
-    type0 = np.array([[1.0 if x == y else 0.5 if x == "None" or {x, y} in KINDRED else 0.0 for y in rt] for x in lt])
-    lp, rp = sorted({_parent(h) for h in header}), sorted({_parent(n) for n, _ in canonical})
-    pa, pb = _points([(_parent(h),) for h in header], lp), _points([(_parent(n),) for n, _ in canonical], rp)
-    parent0 = np.array([[1.0 if x == y else 0.1 + 0.9 * max((word_score(v, w) for v in words(x) for w in words(y)), default=0.0) for y in rp] for x in lp])
-    bare = lambda names: [re.sub(r"[\W_]", "", n).lower() for n in names]
-    same = (np.array(bare(header), object)[:, None] == np.array(bare(n for n, _ in canonical), object)).astype(float)
+    lt = sorted({str(t) for t in types})
+    ta, tb = _points([(str(t),) for t in types], lt), c.to_types
+    type0 = np.array([[1.0 if x == y else 0.5 if x == "None" or {x, y} in KINDRED else 0.0 for y in c.types] for x in lt])
+    lp = sorted({_parent(h) for h in header})
+    pa, pb = _points([(_parent(h),) for h in header], lp), c.to_parents
+    parent0 = np.array([[1.0 if x == y else 0.1 + 0.9 * max((word_score(v, w) for v in words(x) for w in words(y)), default=0.0) for y in c.parents] for x in lp])
+    same = (_bare(header)[:, None] == c.bare).astype(float)
     word, kind, parent, cols = word0, type0, parent0, np.zeros_like(same)
     for _ in range(MOST_ROUNDS):
         # Each word of one name gives its best partner of the other; both directions count.
