@@ -78,7 +78,7 @@ def test_events(spark):
     day = lambda n: datetime(2020, 1, 1 + n, 12)
     rows = [("u", day(0), 1, "zorva", "Zorva Inc", "merger"), ("u", day(5), 2, None, None, "tender"), ("u", day(6), 3, "acme", "Acme", "x"), ("v", day(1), 4, None, None, "y"), (None, day(1), 5, None, None, "y")]
     df = spark.createDataFrame(rows, "u string, t timestamp, i int, p string, n string, k string")
-    e = filings.event_rows(df, entity="u", at="t", tie="i", party="p", name="n", carried=["k"], long_gap=40, short_gap=10)
+    e = filings.event_rows(df, entity="u", at="t", tie="i", party="p", name="n", carried=["k"], long_gap=40, short_gap=10, listed=True)
     got = sorted((r.event_id, r.n_filings, r.k, r.counterparty, r.filings, r.is_conflicting) for r in e.collect())
     assert got == [("u_2020-01-01_zorva", 2, "merger", "Zorva Inc", "1;2", False), ("u_2020-01-07_acme", 1, "x", "Acme", "3", False), ("v_2020-01-02_cluster0003", 1, "y", None, "4", False)]
 

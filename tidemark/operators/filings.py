@@ -202,26 +202,27 @@ def deal_parties(df: DataFrame, targets: list[str], acquirers: list[str], matche
     return out.withColumns({"acquirer": F.coalesce(*others), "source": source})
 
 
-def event_rows(df: DataFrame, *, entity: str, at: str, tie: str, party: str, name: str, carried: list[str], long_gap: int = 365, short_gap: int = 30) -> DataFrame:
+def event_rows(df: DataFrame, *, entity: str, at: str, tie: str, party: str, name: str, carried: list[str], long_gap: int = 365, short_gap: int = 30, listed: bool = False) -> DataFrame:
     """One row per event: clusters of an entity's filings, each with what its first one carries.
 
     ``party`` is what filings of one event share (null: unknown). ``counterparty`` is the
     one distinct ``name`` of a cluster, null for none or several (``is_conflicting``);
     ``event_id`` is made of entity, day and the counterparty's slug or, without one, the
-    cluster's number over all entities. Null entities and times are left out.
+    cluster's number over all entities. Null entities and times are left out. ``listed``
+    adds the ids of an event's ``filings`` as one text, which grows with the event.
     """
     rows = df.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
     placed = clusters.assign_clusters(rows, entity, at, tie, party, long_gap, short_gap)
     order = F.struct(at, tie)
-    names = F.array_sort(F.collect_set(name))
+    ids = [F.array_join(F.array_sort(F.collect_set(F.col(tie).cast("string"))), ";").alias("filings")] if listed else []
     g = placed.groupBy(entity, "cluster").agg(
-        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n_filings"), names.alias("names"),
-        F.array_join(F.array_sort(F.collect_set(F.col(tie).cast("string"))), ";").alias("filings"), *(F.min_by(c, order).alias(c) for c in carried), F.max("event_index").alias("event_index"),
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n_filings"), F.min(name).alias("_least"), F.max(name).alias("_most"),
+        *ids, *(F.min_by(c, order).alias(c) for c in carried), F.max("event_index").alias("event_index"),
     )
-    alone = F.when(F.size("names") == 1, F.col("names")[0])
-    g = g.withColumns({"counterparty": alone, "is_conflicting": F.size("names") > 1})
+    several = F.coalesce(F.col("_least") != F.col("_most"), F.lit(False))
+    g = g.withColumns({"counterparty": F.when(~several, F.col("_least")), "is_conflicting": several})
     key = F.coalesce(K.slug("counterparty"), F.concat(F.lit("cluster"), F.lpad(F.col("event_index").cast("string"), 4, "0")))
-    return g.withColumn("event_id", F.concat_ws("_", F.col(entity).cast("string"), F.date_format("first_at", "yyyy-MM-dd"), key)).drop("names", "cluster")
+    return g.withColumn("event_id", F.concat_ws("_", F.col(entity).cast("string"), F.date_format("first_at", "yyyy-MM-dd"), key)).drop("_least", "_most", "cluster")
 
 
 def first_of(df: DataFrame, keys: list[str], wanted: dict[str, Column], fields: dict[str, Column | str], order: list[str]) -> DataFrame:
