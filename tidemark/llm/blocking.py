@@ -105,6 +105,8 @@ def like_words(words: DataFrame, listed: DataFrame) -> DataFrame:
             yield b[np.array(ok, bool)] if len(b) else b
 
     apart = (F.col("at_word") < 0) | (F.col("at_like") < 0) | (F.abs(F.col("at_word") - F.col("at_like")) <= 1)
+    # A word meets itself once, as a whole, not by each of its letters.
+    apart &= (F.col("word") != F.col("like")) | (F.col("at_word") < 0)
     near = _word_keys(words, "word").join(_word_keys(listed, "like").hint("merge"), "key").where(apart).select("word", "like").distinct()
     return materialise(near.mapInPandas(run, "word string, like string"))
 
