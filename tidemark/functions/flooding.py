@@ -62,6 +62,7 @@ def word_score(a: str, b: str) -> float:
     return 0.6 * dice if dice > 0.4 else 0.0
 
 
+@lru_cache(maxsize=1 << 16)
 def _parts(name: str, known: frozenset[str]) -> tuple[str, ...]:
     """The words of a name, with glued ones parted where both halves are known and long forms spelled out."""
     out: list[str] = []
@@ -82,7 +83,18 @@ MOST_ROUNDS = 1000
 
 def _points(items: list[tuple], nodes: list) -> np.ndarray:
     """Edges from columns (rows) to nodes."""
-    return np.array([[float(n in x) for n in nodes] for x in items]).reshape(len(items), len(nodes))
+    out = np.zeros((len(items), len(nodes) + 1))
+    out[np.arange(len(items))[:, None], _places(items, nodes)] = 1.0
+    return out[:, :-1]
+
+
+def _places(items: list[tuple], nodes: list) -> np.ndarray:
+    """Of each column the places of its nodes, filled up with one beyond them all."""
+    at = {n: i for i, n in enumerate(nodes)}
+    out = np.full((len(items), max(map(len, items), default=1) or 1), len(nodes))
+    for i, x in enumerate(items):
+        out[i, : len(x)] = [at[n] for n in x]
+    return out
 
 
 def _parent(name: str) -> str:
@@ -102,6 +114,7 @@ class _Canonical(NamedTuple):
     known: frozenset[str]
     words: list[str]
     to_words: np.ndarray
+    places: np.ndarray
     types: list[str]
     to_types: np.ndarray
     parents: list[str]
@@ -114,8 +127,13 @@ def _heavy(w: str) -> float:
     return 0.25 if w in EMPTY else 0.6 if w in ("date", "price", "code", "type") else 1.0
 
 
+@lru_cache(maxsize=1 << 16)
+def _letters(name: str) -> str:
+    return re.sub(r"[\W_]", "", name).lower()
+
+
 def _bare(names: tuple[str, ...]) -> np.ndarray:
-    return np.array([re.sub(r"[\W_]", "", n).lower() for n in names], object)
+    return np.array([_letters(n) for n in names], object)
 
 
 @lru_cache(maxsize=8)
@@ -125,7 +143,7 @@ def _graph_of(canonical: tuple[tuple[str, str], ...]) -> _Canonical:
     parts = [_parts(n, known) for n in names]
     nodes, types, parents = sorted({w for p in parts for w in p}), sorted({t for _, t in canonical}), sorted(set(map(_parent, names)))
     return _Canonical(
-        known, nodes, _points(parts, nodes) * np.array([_heavy(w) for w in nodes]), types, _points([(t,) for _, t in canonical], types),
+        known, nodes, _points(parts, nodes) * np.array([_heavy(w) for w in nodes]), _places(parts, nodes), types, _points([(t,) for _, t in canonical], types),
         parents, _points([(_parent(n),) for n in names], parents), _bare(names),
     )
 
@@ -147,12 +165,13 @@ def correspond(header: tuple[str, ...], types: tuple[str | None, ...], canonical
     pa, pb = _points([(_parent(h),) for h in header], lp), c.to_parents
     parent0 = np.array([[1.0 if x == y else 0.1 + 0.9 * max((word_score(v, w) for v in words(x) for w in words(y)), default=0.0) for y in c.parents] for x in lp])
     same = (_bare(header)[:, None] == c.bare).astype(float)
+    mine, weight, edged = _places(left, lw), np.maximum(a.sum(1)[:, None] + b.sum(1)[None, :], 1e-9), np.zeros((len(lw) + 1, len(rw) + 1))
     word, kind, parent, cols = word0, type0, parent0, np.zeros_like(same)
     for _ in range(MOST_ROUNDS):
         # Each word of one name gives its best partner of the other; both directions count.
-        there = np.max(np.where(b[None, :, :] > 0, word[:, None, :], 0), 2)
-        back = np.max(np.where(a[None, :, :] > 0, word.T[:, None, :], 0), 2)
-        score = (a @ there + (b @ back).T) / np.maximum(a.sum(1)[:, None] + b.sum(1)[None, :], 1e-9)
+        edged[:-1, :-1] = word
+        there, back = edged[:-1][:, c.places].max(2), edged.T[:-1][:, mine].max(2)
+        score = (a @ there + (b @ back).T) / weight
         new = 0.8 * score + 0.12 * (ta @ kind @ tb.T) + 0.6 * same + 0.1 * (pa @ parent @ pb.T)
         new = 0.25 * cols + 0.75 * new / new.max()
         # Columns that fit strengthen the pairs of what they point to.
