@@ -118,7 +118,10 @@ def candidates(typed: DataFrame, listed: DataFrame, alike: DataFrame, a: str, b:
     """
     words, heads = typed.where("others is null").drop("others"), listed.where("others is not null")
     right = heads.select(b, F.col("word").alias("first"), F.explode("others").alias("c"))
-    first = words.join(alike.withColumnRenamed("like", "first").hint("merge"), "word").select(a, "first", "second")
+    # Of all like words only those that some listed name begins with.
+    begins = heads.select(F.col("word").alias("first")).distinct()
+    near = alike.withColumnRenamed("like", "first").join(begins.hint("merge"), "first", "left_semi")
+    first = words.join(near.hint("merge"), "word").select(a, "first", "second")
     letter = first.select(a, "first", F.coalesce(F.substring("second", 1, 1), F.lit("")).alias("c"))
     turned = alike.where("substr(word, 1, 1) <> substr(like, 1, 1)").select(F.col("word").alias("second"), F.concat(F.lit("="), "like").alias("c"))
     left = letter.unionAll(first.join(turned.hint("merge"), "second").select(a, "first", "c"))
