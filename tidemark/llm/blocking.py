@@ -3,11 +3,11 @@
 Whatever ``stands_for`` accepts is a candidate: it asks for the listed name's first word
 among the typed ones and for a listed word behind every typed one. Words are compared once
 for all names they occur in - up to an edit by hashes of the word with a letter left out -
-and names then meet by equal first words and the typed name's longest other word: by its
-first letter, which all that stands for a word keeps but typing errors and nicknames, and
-those are known from the comparison of words. Every name blocks in the same way, whatever
-the size of the tables; a busy block is a skewed partition of a sort-merge join, which
-Spark splits.
+and names then meet by equal first words and the typed name's longest other word: by what
+the comparison knows it to be like, or by its first letter, which short forms keep and
+words with two errors, if it also has the letters of the other word or is two edits from
+it. Every name blocks in the same way, whatever the size of the tables; a busy block is a
+skewed partition of a sort-merge join, which Spark splits.
 """
 
 from __future__ import annotations
@@ -55,10 +55,9 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def name_words(df: DataFrame, key: str, name: str) -> DataFrame:
     """``key, word, second, others`` of each name; null names and those without a word have none.
 
-    The first word, and the first two written together, come with the keys of all ``others``
-    (first letters, the words, neighbours written together, and "" for names of which no
-    other word is there); the other rows (``others`` null) are all words of the name, each
-    with the longest one beside it.
+    The first word, and the first two written together, come with all ``others`` (the words,
+    neighbours written together, and "" for names of which no other word is there); the
+    other rows (``others`` null) are all words of the name, each with the longest one beside it.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -69,7 +68,7 @@ def name_words(df: DataFrame, key: str, name: str) -> DataFrame:
                 t = parse(n).tokens
                 for i in range(1, min(2, len(t)) + 1):
                     words = {*t[i:], *map("".join, zip(t[i:], t[i + 1 :], strict=False))}
-                    rows.append((k, "".join(t[:i]), None, ["", *sorted({w[0] for w in words} | {"=" + w for w in words})]))
+                    rows.append((k, "".join(t[:i]), None, ["", *sorted(words)]))
                 long = sorted(range(len(t)), key=lambda i: -len(t[i]))[:2]
                 rows += [(k, w, t[long[long[0] == i]] if len(t) > 1 else None, None) for i, w in enumerate(t)]
             yield pd.DataFrame(rows, columns=["k", "word", "second", "others"])
@@ -80,8 +79,7 @@ def name_words(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def vocabulary(rows: DataFrame) -> DataFrame:
     """``word``: all words of ``name_words`` rows, and those written together."""
-    others = rows.select(F.explode("others").alias("c")).where("startswith(c, '=')").select(F.expr("substr(c, 2)").alias("word"))
-    return rows.select("word").unionAll(others).distinct()
+    return rows.select("word").unionAll(rows.select(F.explode("others").alias("word")).where("word <> ''")).distinct()
 
 
 def _word_keys(words: DataFrame, out: str) -> DataFrame:
@@ -111,18 +109,26 @@ def like_words(words: DataFrame, listed: DataFrame) -> DataFrame:
     return materialise(near.mapInPandas(run, "word string, like string"))
 
 
-def candidates(typed: DataFrame, listed: DataFrame, alike: DataFrame, a: str, b: str) -> DataFrame:
+def candidates(typed: DataFrame, listed: DataFrame, alike: DataFrame, a: str, b: str, shaped: bool = True) -> DataFrame:
     """Distinct ``a, b`` whose names (both as ``name_words`` rows) may stand for each other, ``typed`` for ``listed``.
 
-    ``alike`` are the ``like_words`` of both vocabularies.
+    ``alike`` are the ``like_words`` of both vocabularies. Where not ``shaped``, names that
+    share a first word and a first letter are pairs whatever the shape of the other words:
+    a model that learns from pairs needs those that don't match too.
     """
     words, heads = typed.where("others is null").drop("others"), listed.where("others is not null")
-    right = heads.select(b, F.col("word").alias("first"), F.explode("others").alias("c"))
+    right = heads.select(b, F.col("word").alias("first"), F.explode("others").alias("other"))
     # Of all like words only those that some listed name begins with.
     begins = heads.select(F.col("word").alias("first")).distinct()
     near = alike.withColumnRenamed("like", "first").join(begins.hint("merge"), "first", "left_semi")
     first = words.join(near.hint("merge"), "word").select(a, "first", "second")
-    letter = first.select(a, "first", F.coalesce(F.substring("second", 1, 1), F.lit("")).alias("c"))
-    turned = alike.where("substr(word, 1, 1) <> substr(like, 1, 1)").select(F.col("word").alias("second"), F.concat(F.lit("="), "like").alias("c"))
-    left = letter.unionAll(first.join(turned.hint("merge"), "second").select(a, "first", "c"))
-    return left.join(right.hint("merge"), ["first", "c"]).select(a, b).distinct()
+    # No other word asks for none; one that is like another word, whatever the error, for that.
+    known = alike.where("word <> like").select(F.col("word").alias("second"), F.col("like").alias("other"))
+    asked = first.where("second is null").select(a, "first", F.lit("").alias("other")).unionAll(first.join(known.hint("merge"), "second").select(a, "first", "other"))
+    by_word = asked.join(right.hint("merge"), ["first", "other"]).select(a, b)
+    # Short forms have the letters of the word but for one left in by error and a plural s.
+    short = lambda x, y: (F.length(x) <= F.length(y)) & (F.length(F.call_function("translate", F.col(x), F.col(y), F.lit(""))) <= 2)
+    fits = short("second", "other") | short("other", "second") | (F.levenshtein("second", "other", 2) >= 0)
+    lettered = right.where("other <> ''").withColumn("c", F.substring("other", 1, 1))
+    by_letter = first.where("second is not null").withColumn("c", F.substring("second", 1, 1)).join(lettered.hint("merge"), ["first", "c"]).where(fits if shaped else F.lit(True)).select(a, b)
+    return by_word.unionAll(by_letter).distinct()

@@ -52,7 +52,7 @@ def scored_names(left: DataFrame, right: DataFrame) -> DataFrame:
     mine, theirs = materialise(name_words(left, "nid", "name")), materialise(name_words(right, "vid", "v"))
     alike = like_words(vocabulary(mine), vocabulary(theirs))
     turned = alike.select(F.col("like").alias("word"), F.col("word").alias("like"))
-    pairs = candidates(mine, theirs, alike, "nid", "vid").unionByName(candidates(theirs, mine, turned, "vid", "nid")).distinct()
+    pairs = candidates(mine, theirs, alike, "nid", "vid", shaped=False).unionByName(candidates(theirs, mine, turned, "vid", "nid", shaped=False)).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
