@@ -130,5 +130,7 @@ def candidates(typed: DataFrame, listed: DataFrame, alike: DataFrame, a: str, b:
     short = lambda x, y: (F.length(x) <= F.length(y)) & (F.length(F.call_function("translate", F.col(x), F.col(y), F.lit(""))) <= 2)
     fits = short("second", "other") | short("other", "second") | (F.levenshtein("second", "other", 2) >= 0)
     lettered = right.where("other <> ''").withColumn("c", F.substring("other", 1, 1))
-    by_letter = first.where("second is not null").withColumn("c", F.substring("second", 1, 1)).join(lettered.hint("merge"), ["first", "c"]).where(fits if shaped else F.lit(True)).select(a, b)
+    lettered = lettered if shaped else lettered.select(b, "first", "c").distinct()
+    by_letter = first.where("second is not null").withColumn("c", F.substring("second", 1, 1)).join(lettered.hint("merge"), ["first", "c"])
+    by_letter = (by_letter.where(fits) if shaped else by_letter).select(a, b)
     return by_word.unionAll(by_letter).distinct()
