@@ -123,7 +123,7 @@ def candidates(typed: DataFrame, listed: DataFrame, alike: DataFrame, a: str, b:
     near = alike.withColumnRenamed("like", "first").join(begins.hint("merge"), "first", "left_semi")
     first = words.join(near.hint("merge"), "word").select(a, "first", "second")
     # No other word asks for none; one that is like another word, whatever the error, for that.
-    known = alike.where("word <> like").select(F.col("word").alias("second"), F.col("like").alias("other"))
+    known = alike.where("word <> like" if shaped else "substr(word, 1, 1) <> substr(like, 1, 1)").select(F.col("word").alias("second"), F.col("like").alias("other"))
     asked = first.where("second is null").select(a, "first", F.lit("").alias("other")).unionAll(first.join(known.hint("merge"), "second").select(a, "first", "other"))
     by_word = asked.join(right.hint("merge"), ["first", "other"]).select(a, b)
     # Short forms have the letters of the word but for one left in by error and a plural s.
