@@ -142,6 +142,7 @@ def test_whatever_may_stand_for_a_name_is_a_candidate(spark):
     turned = {(r.a, r.b) for r in candidates(b, a, back, "b", "a").collect()}
     strict = {(i, j) for i, x in enumerate(typed) for j, y in enumerate(listed) if stands_for(parse(x), parse(y))[0] > 0}
     assert strict and strict <= got
+    assert got <= {(r.a, r.b) for r in candidates(a, b, alike, "a", "b", shaped=False).collect()}
     assert {(i, j) for i, x in enumerate(typed) for j, y in enumerate(listed) if name_score(x, y)[0] > 0} <= got | turned
 
 
